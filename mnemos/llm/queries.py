@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mnemos.llm import fuse, terms
+from mnemos.llm import fuse, leaks, mix, terms
 
-_PARTS = (fuse, terms)
+_PARTS = (fuse, terms, leaks, mix)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE = {k: q for part in _PARTS for k, q in part.ORACLE.items()}
