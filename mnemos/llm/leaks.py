@@ -150,7 +150,7 @@ def leaking(spans: DataFrame, doc_id: str, item_id: str) -> DataFrame:
 
 def decontaminate(documents: DataFrame, doc_id: str, text: str, spans: DataFrame, mode: str = "cut") -> DataFrame:
     """The documents without leaks: ``mode`` "cut" takes the spans out of the text
-    (overlapping spans of several items are merged by cutting from the back),
+    (spans of several items that overlap are cut out once),
     "drop" leaves the documents out. Documents with a null id stay as they are."""
     found = spans.groupBy(doc_id).agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("__spans"))
     if mode == "drop":
