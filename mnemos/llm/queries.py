@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mnemos.llm import fuse, leaks, mix, nearest, terms
+from mnemos.llm import fuse, leaks, mix, nearest, similar, terms
 
-_PARTS = (nearest, fuse, terms, leaks, mix)
+_PARTS = (nearest, fuse, terms, similar, leaks, mix)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE = {k: q for part in _PARTS for k, q in part.ORACLE.items()}
