@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -62,3 +63,22 @@ def pairs_within(starts: np.ndarray, chunk: int = 100_000) -> Iterator[tuple[np.
         a = np.repeat(np.arange(at, to), m)
         yield a, a + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         at = to
+
+
+def in_blocks(rows: DataFrame, key: str, row_id: str, most: int) -> DataFrame:
+    """``rows`` with ``part``, ready for ``over_groups``: groups of more than ``most``
+    rows are replaced by the pairs of their blocks (rows of part 0 and 1 are to be
+    compared with each other, null: all with all). Exact, for the few groups that
+    no finer key could split."""
+    names = rows.columns
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > most)
+    large = sizes.select(key, F.ceil(F.col("__m") / most).cast("int").alias("__s"))
+    plain = rows.select(*names, F.lit(None).cast("int").alias("part"))
+    if large.isEmpty():
+        return plain
+    at = rows.join(large, key).withColumn("__r", F.pmod(F.xxhash64(row_id), F.col("__s")).cast("int"))
+    at = at.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__s") - 1)))
+    part = F.when(F.col("__r") != F.col("__o"), (F.col("__r") > F.col("__o")).cast("int")).alias("part")
+    new = F.xxhash64(key, F.least("__r", "__o"), F.greatest("__r", "__o")).alias(key)
+    blocks = at.select(*(new if c == key else F.col(c) for c in names), part)
+    return plain.join(large, key, "left_anti").select(*names, "part").unionAll(blocks)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemos.llm.grouped import bounds, over_groups, pairs_within
+from mnemos.llm.grouped import bounds, in_blocks, over_groups, pairs_within
 from mnemos.sources.tables import table
 
 TABLES = 3
@@ -172,16 +172,6 @@ def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFra
     return over_groups(rows, "bucket", run, schema)
 
 
-def _blocks(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    """Buckets too full for one task, as pairs of blocks: each row goes to the pairs its block is in."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("s"))
-    at = rows.join(sizes, "bucket").withColumn("r", F.pmod(F.xxhash64("id", F.lit(7)), F.col("s")).cast("int"))
-    other = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    lo, hi = F.least("r", "o"), F.greatest("r", "o")
-    part = F.when(F.col("r") != F.col("o"), (F.col("r") > F.col("o")).cast("int"))
-    return other.select(F.xxhash64("bucket", lo, hi).alias("bucket"), "id", "guest", "e", part.alias("part"))
-
-
 def nearest(
     vectors: DataFrame,
     vec_id: str,
@@ -267,7 +257,7 @@ def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tabl
     none = F.lit(None).cast("int").alias("part")
     todo = [p.select("bucket", "id", "guest", "e", none) for p in parts]
     if full is not None:
-        todo.append(_blocks(full, bucket_rows))
+        todo.append(in_blocks(full.select("bucket", "id", "guest", "e"), "bucket", "id", bucket_rows))
     pairs = _compare(reduce(DataFrame.unionAll, todo), dim, k, radius).distinct()
     names = reps.select("key", "id", "g")
     return (

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemos.llm.components import components
-from mnemos.llm.grouped import bounds, over_groups
+from mnemos.llm.grouped import bounds, in_blocks, over_groups
 from mnemos.llm.terms import words
 from mnemos.sources.tables import table
 
@@ -216,18 +216,7 @@ def class_links(classes: DataFrame, threshold: str = "0.7", group_rows: int = GR
     id_kind = classes.schema["id"].dataType
     longs = [T.StructField(x, T.LongType()) for x in names]
     rows = classes.select("id", "words").mapInArrow(keyed, T.StructType([longs[0], T.StructField("id", id_kind), *longs[2:]]))
-    # a group of one has no pairs; groups too large for one task become pairs of blocks
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    large = sizes.where(F.col("m") > group_rows).select("key", F.ceil(F.col("m") / group_rows).cast("int").alias("s"))
-    none = F.lit(None).cast("int").alias("part")
-    todo = rows.select(*names, none)
-    if not large.isEmpty():
-        at = rows.join(large, "key").withColumn("r", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-        at = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        part = F.when(F.col("r") != F.col("o"), (F.col("r") > F.col("o")).cast("int"))
-        cut_key = F.xxhash64("key", F.least("r", "o"), F.greatest("r", "o"))
-        blocks = at.select(cut_key.alias("key"), "id", "n", *names[3:], part.alias("part"))
-        todo = rows.join(large, "key", "left_anti").select(*names, none).unionAll(blocks)
+    todo = in_blocks(rows, "key", "id", group_rows)
 
     def join(tab: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = tab.column("id").combine_chunks()
