@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemos.llm.components import components
 from mnemos.llm.grouped import bounds, in_blocks, over_groups, pairs_within
+from mnemos.session import cut
 from mnemos.sources.tables import table
 
 # Common English given names with their short forms.
@@ -299,7 +300,7 @@ def link_names(entries: DataFrame, entry_id: str, name: str, within: str | None
     links = _compare(in_blocks(_parsed(forms), "key", "id", block_rows)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, a_open, b_open)").alias("a_open"), F.expr("if(a < b, b_open, a_open)").alias("b_open")
     )
-    links = links.distinct()
+    links = cut(links.distinct())  # four stages read it
     sure = links.where("not a_open and not b_open").select("a", "b")
     alone = forms.select(F.col("id").alias("a"), F.col("id").alias("b"))
     strong = components(sure.unionAll(alone), "a", "b")
