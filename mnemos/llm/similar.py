@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from mnemos.llm.components import components
 from mnemos.llm.grouped import bounds, in_blocks, over_groups
 from mnemos.llm.terms import words
+from mnemos.session import cut
 from mnemos.sources.tables import table
 
 WORDS = 4  # 64-bit words of a fingerprint
@@ -182,7 +183,7 @@ def bag_classes(records: DataFrame, rec_id: str, text: str) -> tuple[DataFrame,
     """(id, words) of one record per different bag, and (id, class) of all records; wordless texts are left out."""
     rows = records.select(F.col(rec_id).alias("id"), F.array_sort(words(F.col(text))).alias("words")).where("id is not null and size(words) > 0")
     rows = rows.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
-    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.first("words").alias("words"))
+    classes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.first("words").alias("words")))  # five stages read it
     members = rows.select("h1", "h2", "id").distinct().join(classes.select("h1", "h2", "class"), ["h1", "h2"])
     return classes.select(F.col("class").alias("id"), "words"), members.select("id", "class")
 
