@@ -7,9 +7,9 @@ vector lies in its bucket of every table and also looks into the bucket next to
 it, where the rotation with the narrowest decision takes its second-best axis
 (multiprobe). Candidates of a bucket are ranked by their exact distance.
 
-Crowded regions put many vectors into one bucket. A bucket above ``bucket_rows``
-is hashed again, relative to its mean, up to ``levels`` times; what is still
-above that is compared in pairs of blocks, which is exact. Nothing is dropped.
+Crowded regions put many vectors into one bucket. No finer hash tells their
+nearest apart reliably, so a bucket above ``bucket_rows`` is compared in pairs of
+blocks, each a task of its own, which is exact. Nothing is dropped.
 
 Equal vectors are hashed once, as one class, and expanded at the end; a class of
 any size adds at most k + 1 of its ids to the work.
@@ -18,7 +18,6 @@ any size adds at most k + 1 of its ids to the work.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,6 @@ TABLES = 3
 ROTATIONS = 2
 PROBES = 2
 BUCKET_ROWS = 4_000
-LEVELS = 3
 BLOCK = 512  # rows of a bucket from which distances are found by matrix products
 
 
@@ -78,28 +76,22 @@ def _codes(unit: np.ndarray, tables: int, rotations: int, probes: int, seed: int
             yield t, p, home + step[order[p - 1], rows]
 
 
-def _hashed(rows: DataFrame, dim: int, level: int, tables: int, rotations: int, probes: int, seed: int) -> DataFrame:
-    """From (parent, id, guest, e, mean) rows to one row per bucket looked into: (bucket, id, guest, e)."""
-    schema = T.StructType.fromDDL("parent long, code long, id long, guest boolean, e array<float>")
+def _hashed(rows: DataFrame, dim: int, tables: int, rotations: int, probes: int, seed: int) -> DataFrame:
+    """From (g, id, e) rows to one row per bucket looked into: (bucket, id, guest, e); a guest only looks in."""
+    schema = T.StructType.fromDDL("g long, code long, id long, guest boolean, e array<float>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            e = col["e"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            at = e if level == 0 else e - col["mean"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            at = at.astype(np.float64)
-            size = np.sqrt((at * at).sum(axis=1, keepdims=True))
-            unit = (at / np.where(size > 0, size, 1)).astype(np.float32)
-            guest = col["guest"].to_numpy(zero_copy_only=False)
-            for t, p, code in _codes(unit, tables, rotations, probes, seed + 1000 * level):
-                yield pa.RecordBatch.from_arrays(
-                    [col["parent"], pa.array(code * tables + t), col["id"], pa.array(guest | (p > 0)), col["e"]], schema.names
-                )
-
-    cols = ["parent", "id", "guest", "e", *(["mean"] if level else [])]
-    return rows.select(*cols).mapInArrow(run, schema).select(F.xxhash64("parent", "code", F.lit(level)).alias("bucket"), "id", "guest", "e")
+            g, ids, vectors = b.columns
+            e = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            unit = (e / np.sqrt((e * e).sum(axis=1, keepdims=True))).astype(np.float32)
+            for t, p, code in _codes(unit, tables, rotations, probes, seed):
+                yield pa.RecordBatch.from_arrays([g, pa.array(code * tables + t), ids, pa.array(np.full(len(e), p > 0)), vectors], schema.names)
+
+    hashed = rows.select(F.xxhash64("g").alias("g"), "id", "e").mapInArrow(run, schema)
+    return hashed.select(F.xxhash64("g", "code").alias("bucket"), "id", "guest", "e")
 
 
 def _ranked(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +176,6 @@ def nearest(
     rotations: int = ROTATIONS,
     probes: int = PROBES,
     bucket_rows: int = BUCKET_ROWS,
-    levels: int = LEVELS,
     seed: int = 17,
 ) -> DataFrame:
     """(``vec_id``, other, distance, place): for every vector up to ``k`` nearest
@@ -209,7 +200,7 @@ def nearest(
         .withColumns({"h1": F.xxhash64("g", "e"), "h2": F.xxhash64(F.lit(1), "e", "g")})
     )
     classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("e").alias("e"), F.first("g").alias("g"))
-    found = _candidates(classes, dim, k, radius, tables, rotations, probes, bucket_rows, levels, seed)
+    found = _candidates(classes, dim, k, radius, tables, rotations, probes, bucket_rows, seed)
     near = found.groupBy("id", "other", "g").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("g", "id").orderBy("distance", "other")
     near = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
@@ -237,28 +228,12 @@ def nearest(
     return out.select(F.col("id").alias(vec_id), "other", "distance", "place")
 
 
-def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tables: int, rotations: int, probes: int, bucket_rows: int, levels: int, seed: int) -> DataFrame:
+def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tables: int, rotations: int, probes: int, bucket_rows: int, seed: int) -> DataFrame:
     """(id, other, distance, g) between different vectors."""
     # an id may stand for different vectors of several groups, so rows are known by a number of their own
     reps = classes.select(F.col("h1").alias("key"), "id", "g", "e")
-    rows = reps.select(F.xxhash64("g").alias("parent"), F.col("key").alias("id"), F.lit(False).alias("guest"), "e")
-    parts, full = [], None
-    for level in range(levels):
-        hashed = _hashed(rows, dim, level, tables, rotations, probes, seed)
-        hot = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("bucket")
-        if hot.isEmpty():
-            parts.append(hashed)
-            full = None
-            break
-        parts.append(hashed.join(hot, "bucket", "left_anti"))
-        full = hashed.join(hot, "bucket", "left_semi")
-        if level + 1 < levels:
-            rows = full.join(_means(full, dim), "bucket").withColumnRenamed("bucket", "parent")
-    none = F.lit(None).cast("int").alias("part")
-    todo = [p.select("bucket", "id", "guest", "e", none) for p in parts]
-    if full is not None:
-        todo.append(in_blocks(full.select("bucket", "id", "guest", "e"), "bucket", "id", bucket_rows))
-    pairs = _compare(reduce(DataFrame.unionAll, todo), dim, k, radius).distinct()
+    hashed = _hashed(reps.select("g", F.col("key").alias("id"), "e"), dim, tables, rotations, probes, seed)
+    pairs = _compare(in_blocks(hashed, "bucket", "id", bucket_rows), dim, k, radius).distinct()
     names = reps.select("key", "id", "g")
     return (
         pairs.withColumnRenamed("id", "key")
@@ -270,25 +245,6 @@ def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tabl
     )
 
 
-def _means(rows: DataFrame, dim: int) -> DataFrame:
-    """(bucket, mean): sums of a batch first, so that a hot bucket sends few rows."""
-    schema = T.StructType.fromDDL("bucket long, n long, s array<double>")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keys, at = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-                e = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                s = np.zeros((len(keys), dim))
-                np.add.at(s, at, e)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at)), pa.array(s.tolist(), pa.list_(pa.float64()))], schema.names)
-
-    sums = rows.select("bucket", "e").mapInArrow(run, schema)
-    columns = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(dim)]
-    means = sums.groupBy("bucket").agg(F.sum("n").alias("n"), *columns)
-    return means.select("bucket", F.array(*((F.col(f"s{i}") / F.col("n")).cast("float") for i in range(dim))).alias("mean"))
-
-
 def _near(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "vectors", "vec_id", "graph_id", "embedding"), "vec_id", "embedding", "graph_id", k=10, dim=64, radius=0.5)
 
