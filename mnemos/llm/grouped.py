@@ -46,7 +46,9 @@ def over_groups(rows: DataFrame, key: str, run: Callable[[pa.Table], Iterator[pa
         if held:
             yield from run(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(feed, schema)
+    # the work follows the pairs in a group, not the bytes by which adaptive execution would join partitions
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(feed, schema)
 
 
 def pairs_within(starts: np.ndarray, chunk: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
