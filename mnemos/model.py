@@ -38,7 +38,7 @@ class Config:
         for f in fields(self):
             if f.type in ("int", "float") and getattr(self, f.name) == 0 and f.default:
                 object.__setattr__(self, f.name, f.default)
-        for name, accepted in (("scorer", ("information", "excess", "rrf")), ("traversal", ("none", "bfs", "excess")), ("relevance", ("bm25", "matchcount")), ("hash", ("xxhash", "t1ha"))):
+        for name, accepted in (("scorer", ("information", "excess", "rrf")), ("traversal", ("none", "bfs", "excess")), ("relevance", ("bm25", "matchcount")), ("hash", ("xxhash",))):
             value = getattr(self, name).lower()
             if value not in accepted:
                 raise ValueError(f"{name} = {getattr(self, name)!r} (accepted: {', '.join(accepted)})")

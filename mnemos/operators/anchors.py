@@ -55,7 +55,9 @@ def observe(seeds: DataFrame, edges: DataFrame, traversal: str = "excess") -> Da
         mass, count = F.min_by("mass", unsigned("fact_key")), F.lit(1).cast("bigint")
     else:
         mass, count = F.sum("mass"), F.count(F.lit(1))
-    return reached.groupBy("query_id", *ANCHOR).agg(mass.alias("mass"), count.alias("seeds")).join(degrees(edges), ANCHOR)
+    sums = reached.groupBy("query_id", *ANCHOR).agg(mass.alias("mass"), count.alias("seeds"))
+    touched = reached.select(*ANCHOR).distinct()
+    return sums.join(degrees(edges.join(touched, ANCHOR, "left_semi")), ANCHOR)
 
 
 def background(observed: DataFrame) -> DataFrame:

@@ -77,6 +77,9 @@ class Found:
         drop_cut(self.hits.sparkSession, *self.extra.pop("cuts", ()))
 
 
+#: Up to so many different terms are named in the scan's filter.
+MANY_TERMS = 1000
+
 CONTRIBUTION = "query_id bigint, graph_id smallint, fact_key bigint, source string, score double, list_rank int, via_kind string, via string, degree bigint, cnt bigint, named boolean, held double"
 
 
@@ -132,6 +135,11 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         cuts.append(cut(df))
         return cuts[-1]
 
+    def small(df: DataFrame) -> DataFrame:
+        """A table bounded by what was asked (terms, or the seeds of each question and their
+        anchors), through the driver: what follows joins it by broadcast."""
+        return F.broadcast(spark.createDataFrame(df.collect(), df.schema))
+
     def pooled(ranked: DataFrame, source: str) -> DataFrame:
         """The first reading in order, with places from 0; the heads of every reading are seeds."""
         w = Window.partitionBy("query_id", "reading").orderBy(F.col("score").desc(), unsigned("fact_key"))
@@ -143,8 +151,11 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
     texts = [(r.query_id, r.graph_id, t) for r in recalls for t in query_terms(" ".join(r.keywords), config.stemming)]
     if texts:
         asked_terms = spark.createDataFrame(texts, "query_id bigint, graph_id smallint, term string")
-        weighted = kept_once(textindex.weighted_terms(asked_terms, memory.postings, memory.lengths, config.relevance))
-        found = textindex.matches(weighted, memory.postings)
+        posts, wanted_terms = memory.postings, sorted({t for _, _, t in texts})
+        if len(wanted_terms) <= MANY_TERMS:
+            posts = posts.where(F.col("term").isin(wanted_terms))  # reaches the scan
+        weighted = small(textindex.weighted_terms(F.broadcast(asked_terms), posts, memory.lengths, config.relevance))
+        found = textindex.matches(weighted, posts)
         kept = readings(found)
         if config.window_gamma > 0:
             counted = textindex.lent(kept, memory.neighbours, config.window_gamma)
@@ -158,7 +169,7 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
                 inside = out.where("reading = 1").join(filed, ["query_id", "graph_id", "fact_key"], "left_semi")
                 return out.where("reading = 0").unionByName(inside)
 
-            counted = kept_once(accepted(counted))
+            counted = accepted(counted)
             lens = textindex.lent_lengths(counted.select(*keys).distinct(), memory.neighbours, memory.lengths, config.window_gamma, accepted)
         else:
             counted = kept.withColumn("tf", F.col("tf").cast("double"))
@@ -171,7 +182,7 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         with_vector = [r.query_id for r in recalls if r.vector and r.keywords]
         if with_vector:
             best = text.where((F.col("place") == 0) & (F.col("held") > 0) & F.col("query_id").isin(*with_vector))
-            missed = best.select("query_id", ((F.col("total") - F.col("held")) / F.col("held")).alias("missed"))
+            missed = small(best.select("query_id", ((F.col("total") - F.col("held")) / F.col("held")).alias("missed")))
 
     wanted = [(r.query_id, r.graph_id, list(map(float, r.vector))) for r in recalls if r.vector]
     if wanted and memory.vectors is not None:
@@ -193,25 +204,22 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
     seeds = spark.createDataFrame([], "query_id bigint, graph_id smallint, fact_key bigint, source string")
     for p in seed_parts:
         seeds = seeds.unionByName(p)
-    if parts:
-        seen = kept_once(seen)
     if seed_parts:
-        seeds = kept_once(seeds)
+        seeds = small(seeds)
     rates = spark.createDataFrame([], "query_id bigint, total_mass double, total_degree bigint, rate double")
     walking = [r.query_id for r in recalls if r.anchored and not r.alone and r.lanes >= 1]
     if walking and config.traversal != "none":
         distinct = seeds.where(F.col("query_id").isin(*walking)).select("query_id", "graph_id", "fact_key").distinct()
-        masses = scoring.folded(seen, missed, rates).select("query_id", "graph_id", "fact_key", "mass")
-        observed = kept_once(A.observe(distinct.join(masses, ["query_id", "graph_id", "fact_key"]), memory.edges, config.traversal))
+        about = seen.join(F.broadcast(distinct), ["query_id", "graph_id", "fact_key"], "left_semi")
+        masses = small(scoring.folded(about, missed, rates).select("query_id", "graph_id", "fact_key", "mass"))
+        observed = small(A.observe(masses, memory.edges, config.traversal))
         rates = A.background(observed)
-        opened = A.transmitting(observed, rates, named, asked.select("query_id", "depth"))
+        opened = F.broadcast(A.transmitting(observed, F.broadcast(rates), F.broadcast(named), asked.select("query_id", "depth")))
         more = A.expand(opened, memory.edges, config.traversal)
         seen = seen.unionByName(
             _contribution(more, source="graph", score=F.col("mass"), list_rank=0, degree=F.least("degree", F.lit(4294967295)), cnt=F.least("seeds", F.lit(65535)))
         )
-    if seen is not empty:
-        seen = kept_once(seen)
-    pool = kept_once(window(scoring.folded(seen, missed, rates)))
+    pool = window(scoring.folded(seen, F.broadcast(missed), F.broadcast(rates)))
     pool = scoring.scored(pool, config.scorer)
     pool = pool.join(memory.facts, ["graph_id", "fact_key"])
     moment = F.lit(now)

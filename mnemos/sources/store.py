@@ -128,6 +128,8 @@ class MemoryStore:
     def _write(self, tables: dict[str, DataFrame], graphs: list[int], number: int) -> None:
         for name, df in tables.items():
             kept = df.select(*(p.strip().split(" ")[0] for p in TABLES[name].split(", ")))
+            if name == "postings":
+                kept = kept.sortWithinPartitions("graph_id", "term")  # a search reads few terms
             if len(graphs) == 1:
                 kept.write.mode("overwrite").parquet(f"{self.root}/graph={graphs[0]}/v={number}/{name}")
                 continue
