@@ -11,6 +11,10 @@ Crowded regions put many vectors into one bucket. No finer hash tells their
 nearest apart reliably, so a bucket above ``bucket_rows`` is compared in pairs of
 blocks, each a task of its own, which is exact. Nothing is dropped.
 
+Hashing finds near vectors only. Without a radius the nearest of a vector in an
+empty region count too, so then all vectors of a group are compared in pairs of
+blocks: complete, at a cost that grows with the square of the group.
+
 Equal vectors are hashed once, as one class, and expanded at the end; a class of
 any size adds at most k + 1 of its ids to the work.
 """
@@ -140,23 +144,26 @@ def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFra
             for a, b in pairs_within(starts[lo : hi + 1] - first, 50_000):
                 add(a + first, b + first)
         for g in np.flatnonzero(~small):
-            lo, hi = starts[g], starts[g + 1]
-            x = e[lo:hi].astype(np.float64)
-            norm = (x * x).sum(axis=1)
-            for i in range(0, hi - lo, BLOCK):
-                d2 = norm[i : i + BLOCK, None] + norm - 2 * (x[i : i + BLOCK] @ x.T)
-                bad = (guest[lo + i : lo + i + len(d2), None] & guest[lo:hi]) | (ids[lo + i : lo + i + len(d2), None] == ids[lo:hi])
-                p = part[lo:hi]
-                bad |= (p[i : i + len(d2), None] >= 0) & (p[i : i + len(d2), None] == p)
-                d2[bad] = np.inf
-                want = np.isfinite(d2) if radius is None else d2 <= limit * limit + 1e-9 * (1 + norm[i : i + BLOCK, None] + norm)
-                if hi - lo > 4 * k:  # ties at the last place stay in
-                    edge = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-                    want &= d2 <= edge + 1e-9 * (1 + edge)
-                a, b = np.nonzero(want)
-                d = exact(x, a + i, b)
-                near = d <= limit
-                found.append((lo + i + a[near], lo + b[near], d[near]))
+            rows = np.arange(starts[g], starts[g + 1])
+            sides = [(rows, rows)] if part[rows[0]] < 0 else [(rows[part[rows] == s], rows[part[rows] != s]) for s in (0, 1)]
+            for left, right in sides:
+                y = e[right].astype(np.float64)
+                norm = (y * y).sum(axis=1)
+                for i in range(0, len(left), BLOCK):
+                    at = left[i : i + BLOCK]
+                    x = e[at].astype(np.float64)
+                    both = (x * x).sum(axis=1)[:, None] + norm
+                    d2 = both - 2 * (x @ y.T)
+                    d2[(guest[at, None] & guest[right]) | (ids[at, None] == ids[right])] = np.inf
+                    slack = 1e-9 * (1 + both)
+                    want = np.isfinite(d2) if radius is None else d2 <= limit * limit + slack
+                    if len(right) > 4 * k:  # ties at the last place stay in
+                        want &= d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k] + slack
+                    a, b = np.nonzero(want)
+                    a, b = at[a], right[b]
+                    d = exact(e, a, b)
+                    near = d <= limit
+                    found.append(_ranked([(a[near], b[near], d[near])], ids, k))
         if found:
             a, b, d = _ranked(found, ids, k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d)], schema.names)
@@ -177,12 +184,15 @@ def nearest(
     probes: int = PROBES,
     bucket_rows: int = BUCKET_ROWS,
     seed: int = 17,
+    complete: bool | None = None,
 ) -> DataFrame:
     """(``vec_id``, other, distance, place): for every vector up to ``k`` nearest
     others by Euclidean distance, ties to the smaller id, at most ``radius`` away,
     among those with the same ``within``.
 
-    Accuracy: neighbours whose angle is small are found nearly always, distant
+    Accuracy: ``complete`` compares all vectors of a group in pairs of blocks of
+    ``bucket_rows`` and misses nothing; it is the default without a ``radius``.
+    Otherwise hashing finds neighbours whose angle is small nearly always, distant
     ones of vectors without close neighbours often not; with a ``radius`` well
     under the vectors' length the result is nearly complete (see the tests).
 
@@ -200,7 +210,8 @@ def nearest(
         .withColumns({"h1": F.xxhash64("g", "e"), "h2": F.xxhash64(F.lit(1), "e", "g")})
     )
     classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("e").alias("e"), F.first("g").alias("g"))
-    found = _candidates(classes, dim, k, radius, tables, rotations, probes, bucket_rows, seed)
+    complete = radius is None if complete is None else complete
+    found = _candidates(classes, dim, k, radius, tables, rotations, probes, bucket_rows, seed, complete)
     near = found.groupBy("id", "other", "g").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("g", "id").orderBy("distance", "other")
     near = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
@@ -228,12 +239,15 @@ def nearest(
     return out.select(F.col("id").alias(vec_id), "other", "distance", "place")
 
 
-def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tables: int, rotations: int, probes: int, bucket_rows: int, seed: int) -> DataFrame:
+def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tables: int, rotations: int, probes: int, bucket_rows: int, seed: int, complete: bool) -> DataFrame:
     """(id, other, distance, g) between different vectors."""
     # an id may stand for different vectors of several groups, so rows are known by a number of their own
     reps = classes.select(F.col("h1").alias("key"), "id", "g", "e")
-    hashed = _hashed(reps.select("g", F.col("key").alias("id"), "e"), dim, tables, rotations, probes, seed)
-    pairs = _compare(in_blocks(hashed, "bucket", "id", bucket_rows), dim, k, radius).distinct()
+    if complete:
+        buckets = reps.select(F.xxhash64("g").alias("bucket"), F.col("key").alias("id"), F.lit(False).alias("guest"), "e")
+    else:
+        buckets = _hashed(reps.select("g", F.col("key").alias("id"), "e"), dim, tables, rotations, probes, seed)
+    pairs = _compare(in_blocks(buckets, "bucket", "id", bucket_rows), dim, k, radius).distinct()
     names = reps.select("key", "id", "g")
     return (
         pairs.withColumnRenamed("id", "key")
@@ -245,12 +259,12 @@ def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tabl
     )
 
 
-def _near(spark: SparkSession, folder: str) -> DataFrame:
-    return nearest(table(spark, folder, "vectors", "vec_id", "graph_id", "embedding"), "vec_id", "embedding", "graph_id", k=10, dim=64, radius=0.5)
+def _near(spark: SparkSession, folder: str, radius: float | None = None) -> DataFrame:
+    return nearest(table(spark, folder, "vectors", "vec_id", "graph_id", "embedding"), "vec_id", "embedding", "graph_id", k=10, dim=64, radius=radius)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _near(spark, folder).select(F.least("vec_id", "other").alias("vec_id_a"), F.greatest("vec_id", "other").alias("vec_id_b")).distinct()
+    return _near(spark, folder, 0.5).select(F.least("vec_id", "other").alias("vec_id_a"), F.greatest("vec_id", "other").alias("vec_id_b")).distinct()
 
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,6 +38,25 @@ def test_nearest_recall(spark, bucket_rows):
     assert nearest.nearest(df.limit(0), "id", "e", "g", dim=8).isEmpty()
 
 
+@pytest.mark.parametrize("bucket_rows", [4000, 600, 40])
+def test_nearest_without_a_radius_is_complete(spark, bucket_rows):
+    r = np.random.default_rng(2)
+    vs = [(i, i % 5 // 4, [float(x) for x in np.float32(r.normal(size=8))]) for i in range(1000)]
+    vs += [(2000 + i, vs[i][1], vs[i][2]) for i in range(30)]
+    df = spark.createDataFrame(vs, "id bigint, g int, e array<float>")
+    rows = nearest.nearest(df, "id", "e", "g", k=10, dim=8, bucket_rows=bucket_rows).collect()
+    assert {(x["id"], x["other"]) for x in rows} == exact(vs, 10, np.inf) and len(rows) == 10 * len(vs)
+
+
+def test_neighbours_of_vectors_far_from_all_others(spark, tmp_path):
+    r = np.random.default_rng(4)
+    vs = [(i, 1, [float(x) for x in np.float32(r.normal(size=64))]) for i in range(60)]
+    spark.createDataFrame(vs, "vec_id bigint, graph_id smallint, embedding array<float>").write.parquet(str(tmp_path / "vectors.parquet"))
+    rows = nearest.p2_neighbours(spark, str(tmp_path)).collect()
+    assert len(rows) == 600 and min(x["distance"] for x in rows) > 0.5
+    assert nearest.p2_found(spark, str(tmp_path)).isEmpty()
+
+
 WORDS = re.compile(r"[^\W_]+")
 
 
