@@ -3,7 +3,9 @@
 Method: a name is taken apart (titles, initials, given name, legal form, trade),
 blocked by phonetic codes of its tokens, whatever their order, compared with
 Jaro-Winkler and a table of nicknames, and accepted pairs are clustered by
-connected components.
+connected components. Every order of the tokens is a way to read a name, and
+where the table knows no token, each may be the given name. More than ORDERED
+tokens are read as typed and sorted only.
 
 A name that leaves its given name or trade open ("W. Smith") would join
 namesakes. Such names are linked in a second step, to the one cluster they fit;
@@ -16,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +63,7 @@ SURNAME = 0.88  # Jaro-Winkler from which on two surnames or firm names may be o
 SLIP = 0.82  # the same, where there is only one slip
 GIVEN = 0.86
 EDITS = 3  # most slips in a core of nine letters or more; one less in a shorter one
+ORDERED = 4  # most tokens of a core that are read in every order
 BLOCK_ROWS = 3_000
 
 _FORMAL: dict[str, frozenset[str]] = {}
@@ -147,12 +151,18 @@ def _split(token: str) -> tuple[str, str] | None:
     return best and best[1:]
 
 
+def _orders(tokens: list[str]) -> list[str]:
+    """The tokens run together, first as typed, then in other orders."""
+    return ["".join(t) for t in (permutations(tokens) if len(tokens) <= ORDERED else (tokens, sorted(tokens)))]
+
+
 class Name:
     """What a typed name says. ``kind`` "p" (person) or "o"; ``core`` the surname or the
     firm's own name; ``given`` the formal given names it may stand for, or an
-    unknown one as typed; ``initial`` where only that is known; ``trade``."""
+    unknown one as typed; ``initial`` where only that is known; ``trade``; ``ways``
+    all (given, core) it may be read as, the likeliest first."""
 
-    __slots__ = ("core", "given", "initial", "kind", "trade")
+    __slots__ = ("core", "given", "initial", "kind", "trade", "ways")
 
     def __init__(self, typed: str) -> None:
         tokens = [t for t in re.findall(r"[^\W_]+", plain(typed)) if t not in TITLES]
@@ -161,10 +171,10 @@ class Name:
         self.kind = "o" if org and (len(tokens) > 2 or len(tokens) == 2 and len(org) < 2 and not any(_known(t, False) for t in tokens)) else "p"
         if self.kind == "o":
             own = [t for t in tokens if t not in org]
-            self.core = "".join(sorted(own, key=tokens.index))
             self.trade = frozenset(k for k, what in org.values() if what == "trade")
-            if not self.core:
-                self.core, self.trade = "".join(sorted(tokens)), frozenset()
+            if not own:
+                own, self.trade = sorted(tokens), frozenset()
+            self._read([(self.given, c) for c in _orders(own)])
             return
         long = [t for t in tokens if len(t) > 1]
         letters = [t for t in tokens if len(t) == 1]
@@ -172,27 +182,34 @@ class Name:
             long = list(both)
         known = [t for t in long if _known(t, False)]
         if len(long) >= 2:
-            # the given name is the one the table knows best, else the first
-            first = min(known or long[:1], key=lambda t: (t not in _FORMAL, long.index(t)))
-            k = _known(first, False)
-            self.given = frozenset().union(*(_FORMAL[x] for x in k)) if k else frozenset({first})
-            rest = list(long)
-            rest.remove(first)
-            self.core = "".join(rest)
+            # the given name is the one the table knows best, else any, most likely the first
+            firsts = [min(known, key=lambda t: (t not in _FORMAL, long.index(t)))] if known else list(dict.fromkeys(long))
+            ways = []
+            for first in firsts:
+                k = _known(first, False)
+                given = frozenset().union(*(_FORMAL[x] for x in k)) if k else frozenset({first})
+                rest = list(long)
+                rest.remove(first)
+                ways += [(given, c) for c in _orders(rest)]
+            self._read(ways)
         else:
-            self.core = "".join(long) or "".join(letters)
             self.initial = letters[0] if long and letters else ""
+            self._read([(self.given, "".join(long) or "".join(letters))])
+
+    def _read(self, ways: list[tuple[frozenset[str], str]]) -> None:
+        self.ways = tuple(dict.fromkeys(ways))
+        self.given, self.core = self.ways[0]
 
     def open(self) -> bool:
         """Whether it fits namesakes of different given names or trades."""
         return not self.trade if self.kind == "o" else not self.given
 
-    def fits(self, other: Name) -> bool:
+    def fits(self, other: Name, a: frozenset[str], b: frozenset[str]) -> bool:
+        """Whether the kinds, trades or initials and the given names ``a`` and ``b`` read in them agree."""
         if self.kind != other.kind:
             return False
         if self.kind == "o":
             return not self.trade or not other.trade or self.trade == other.trade
-        a, b = self.given, other.given
         if a and b:
             return bool(a & b) or any(jaro_winkler(x, y) >= GIVEN for x in a - _FORMAL.keys() for y in b) or any(jaro_winkler(x, y) >= GIVEN for x in b - _FORMAL.keys() for y in a)
         i, j = self.initial, other.initial
@@ -203,16 +220,20 @@ class Name:
 
     def same(self, other: Name) -> bool:
         """Whether both may name one person or organisation."""
-        if not self.fits(other):
-            return False
-        x, y = self.core, other.core
-        if x == y:
-            return True
-        if min(len(x), len(y)) < 4:
-            return False
-        most = EDITS if min(len(x), len(y)) >= 9 else EDITS - 1
-        # one slip near the front lowers Jaro-Winkler most
-        return (j := jaro_winkler(x, y)) >= SLIP and edits(x, y, most if j >= SURNAME else 1) <= (most if j >= SURNAME else 1)
+        # a slip may change the sorted order, so one name is read as typed, the other in every way
+        both = [(self.ways[0], w) for w in other.ways] + [(w, other.ways[0]) for w in self.ways[1:]]
+        return any(self.fits(other, a, b) and _alike(x, y) for (a, x), (b, y) in both)
+
+
+def _alike(x: str, y: str) -> bool:
+    """Whether two cores may be one."""
+    if x == y:
+        return True
+    if min(len(x), len(y)) < 4:
+        return False
+    most = EDITS if min(len(x), len(y)) >= 9 else EDITS - 1
+    # one slip near the front lowers Jaro-Winkler most
+    return (j := jaro_winkler(x, y)) >= SLIP and edits(x, y, most if j >= SURNAME else 1) <= (most if j >= SURNAME else 1)
 
 
 # Consonants that sound alike.
@@ -221,14 +242,17 @@ _SOUND = {c: str(i) for i, group in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "m
 
 def codes(name: Name) -> list[str]:
     """Phonetic codes: the consonants from the front, from the back, and the vowels
-    of the core, and two consonants from either end beside each given name or trade.
-    One slip leaves at least two of them as they were, two slips mostly one."""
-    core = name.core
-    sounds = "".join(_SOUND.get(c, "") for c in core)
-    vowels = "".join(c for c in core if c in "aeiouy")
-    alone = ["f" + (core[:1] if core[:1] in "aeiouy" else "") + sounds[:4], "r" + sounds[::-1][:5], "v" + vowels]
-    beside = [e for t in sorted(name.given | name.trade) for e in (f"{t} f{sounds[:2]}", f"{t} r{sounds[-2:]}")]
-    return alone + beside
+    of the core, and two consonants from either end beside each given name or trade,
+    in every way to read the name. One slip leaves at least two of them as they were,
+    two slips mostly one."""
+    out: dict[str, None] = {}
+    for given, core in name.ways:
+        sounds = "".join(_SOUND.get(c, "") for c in core)
+        vowels = "".join(c for c in core if c in "aeiouy")
+        alone = ["f" + (core[:1] if core[:1] in "aeiouy" else "") + sounds[:4], "r" + sounds[::-1][:5], "v" + vowels]
+        beside = [e for t in sorted(given | name.trade) for e in (f"{t} f{sounds[:2]}", f"{t} r{sounds[-2:]}")]
+        out |= dict.fromkeys(alone + beside)
+    return list(out)
 
 
 def _parsed(forms: DataFrame) -> DataFrame:
@@ -270,10 +294,20 @@ def _compare(rows: DataFrame) -> DataFrame:
 
         masks = np.array([mask(n) for n in names], dtype=np.uint64)
         # an edit changes two of the letters a core has at most
-        letters = np.array([sum({1 << (ord(c) & 31) for c in n.core}) for n in names], dtype=np.uint64)
+        ways = [list(dict.fromkeys(sum({1 << (ord(c) & 31) for c in core}) for _, core in n.ways)) for n in names]
+        widest = max(map(len, ways), default=1)
+        letters = np.array([w + w[:1] * (widest - len(w)) for w in ways], dtype=np.uint64).reshape(-1, widest)
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = np.bitwise_count(letters[a, 0] ^ letters[b, 0]) <= 2 * EDITS
+            for w in range(1, widest):
+                ok |= np.bitwise_count(letters[a, 0] ^ letters[b, w]) <= 2 * EDITS
+                ok |= np.bitwise_count(letters[a, w] ^ letters[b, 0]) <= 2 * EDITS
+            return ok
+
         found = [[], [], [], []]
         for a, b in pairs_within(bounds(t.column("key").to_numpy())):
-            ok = (np.bitwise_count(letters[a] ^ letters[b]) <= 2 * EDITS) & ((masks[a] & masks[b]) > 0) & (group[a] == group[b]) & (ids[a] != ids[b]) & ((part[a] < 0) | (part[a] != part[b]))
+            ok = near(a, b) & ((masks[a] & masks[b]) > 0) & (group[a] == group[b]) & (ids[a] != ids[b]) & ((part[a] < 0) | (part[a] != part[b]))
             for i, j in zip(a[ok].tolist(), b[ok].tolist()):
                 if names[i].same(names[j]):
                     for x, v in zip(found, (ids[i], ids[j], names[i].open(), names[j].open())):

@@ -136,6 +136,20 @@ def test_names(spark):
     assert names.link_names(df.limit(0), "id", "v", "g").isEmpty()
 
 
+def test_names_in_any_order(spark):
+    rows = [
+        (1, "Zoltan Kepebymeford"), (2, "Kepebymeford, Zoltan"), (3, "KEPEBYMEFROD ZOLTAN"), (4, "Bela Kepebymeford"), (5, "Kepebymeford, Bela"),
+        (10, "Blue Harbour Shipping"), (11, "Harbour Blue Shpg"), (12, "Harbour Glue Shipping"), (13, "Harbour Blue Trading"),
+        (20, "robert maria tunoviposon"), (21, "Tunoviposon, Bob Maria"), (30, "north west amber river mills ltd"), (31, "Amber Mills North River West Ltd"),
+    ]
+    df = spark.createDataFrame([(i, 1, v) for i, v in rows], "id bigint, g int, v string")
+    for block in (3000, 3):
+        groups = defaultdict(set)
+        for r in names.link_names(df, "id", "v", "g", block).collect():
+            groups[r["entity"]].add(r["id"])
+        assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5], [10, 11, 12], [13], [20, 21], [30, 31]]
+
+
 def test_jaro_winkler():
     for a, b, want in (("martha", "marhta", 0.9611), ("dixon", "dicksonx", 0.8133), ("", "", 1.0), ("a", "", 0.0)):
         assert names.jaro_winkler(a, b) == pytest.approx(want, abs=1e-4)
