@@ -81,27 +81,27 @@ def _codes(unit: np.ndarray, tables: int, rotations: int, probes: int, seed: int
 
 
 def _hashed(rows: DataFrame, dim: int, tables: int, rotations: int, probes: int, seed: int) -> DataFrame:
-    """From (g, id, e) rows to one row per bucket looked into: (bucket, id, guest, e); a guest only looks in."""
-    schema = T.StructType.fromDDL("g long, code long, id long, guest boolean, e array<float>")
+    """From (g, id, low, e) rows to one row per bucket looked into: (bucket, id, low, guest, e); a guest only looks in."""
+    schema = T.StructType.fromDDL("g long, code long, id long, low long, guest boolean, e array<float>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            g, ids, vectors = b.columns
+            g, ids, low, vectors = b.columns
             e = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
             unit = (e / np.sqrt((e * e).sum(axis=1, keepdims=True))).astype(np.float32)
             for t, p, code in _codes(unit, tables, rotations, probes, seed):
-                yield pa.RecordBatch.from_arrays([g, pa.array(code * tables + t), ids, pa.array(np.full(len(e), p > 0)), vectors], schema.names)
+                yield pa.RecordBatch.from_arrays([g, pa.array(code * tables + t), ids, low, pa.array(np.full(len(e), p > 0)), vectors], schema.names)
 
-    hashed = rows.select(F.xxhash64("g").alias("g"), "id", "e").mapInArrow(run, schema)
-    return hashed.select(F.xxhash64("g", "code").alias("bucket"), "id", "guest", "e")
+    hashed = rows.select(F.xxhash64("g").alias("g"), "id", "low", "e").mapInArrow(run, schema)
+    return hashed.select(F.xxhash64("g", "code").alias("bucket"), "id", "low", "guest", "e")
 
 
-def _ranked(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of each row (by distance, then id) of the directed pairs found."""
+def _ranked(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each row (by distance, then ``low``) of the directed pairs found."""
     a, b, d = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((ids[b], d, a))
+    order = np.lexsort((low[b], d, a))
     a, b, d = a[order], b[order], d[order]
     start = np.searchsorted(a, a, "left")
     ok = np.arange(len(a)) - start < k
@@ -110,6 +110,7 @@ def _ranked(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndar
 
 def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFrame:
     """(id, other, distance): within each bucket (and pair of blocks) the k nearest of each row.
+    ``low`` breaks ties: the smallest id with the vector, as ``id`` is but a hash.
     ``part`` 0 or 1: rows of part 0 and 1 are compared with each other; null: all with all."""
     schema = T.StructType.fromDDL("id long, other long, distance double")
     limit = np.inf if radius is None else float(radius)
@@ -119,7 +120,7 @@ def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFra
         return np.sqrt(np.einsum("ij,ij->i", x, x))
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = t.column("id").to_numpy()
+        ids, low = t.column("id").to_numpy(), t.column("low").to_numpy()
         key = t.column("bucket").to_numpy()
         guest = t.column("guest").to_numpy()
         part = t.column("part").fill_null(-1).to_numpy()
@@ -134,7 +135,7 @@ def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFra
             a, b, d = a[near], b[near], d[near]
             found.append((np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])))
             if sum(len(x[0]) for x in found) > 2_000_000:
-                found[:] = [_ranked(found, ids, k)]
+                found[:] = [_ranked(found, low, k)]
 
         starts = bounds(key)
         small = np.diff(starts) < BLOCK
@@ -163,9 +164,9 @@ def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFra
                     a, b = at[a], right[b]
                     d = exact(e, a, b)
                     near = d <= limit
-                    found.append(_ranked([(a[near], b[near], d[near])], ids, k))
+                    found.append(_ranked([(a[near], b[near], d[near])], low, k))
         if found:
-            a, b, d = _ranked(found, ids, k)
+            a, b, d = _ranked(found, low, k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d)], schema.names)
 
     return over_groups(rows, "bucket", run, schema)
@@ -244,9 +245,9 @@ def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tabl
     # an id may stand for different vectors of several groups, so rows are known by a number of their own
     reps = classes.select(F.col("h1").alias("key"), "id", "g", "e")
     if complete:
-        buckets = reps.select(F.xxhash64("g").alias("bucket"), F.col("key").alias("id"), F.lit(False).alias("guest"), "e")
+        buckets = reps.select(F.xxhash64("g").alias("bucket"), F.col("key").alias("id"), F.col("id").alias("low"), F.lit(False).alias("guest"), "e")
     else:
-        buckets = _hashed(reps.select("g", F.col("key").alias("id"), "e"), dim, tables, rotations, probes, seed)
+        buckets = _hashed(reps.select("g", F.col("key").alias("id"), F.col("id").alias("low"), "e"), dim, tables, rotations, probes, seed)
     pairs = _compare(in_blocks(buckets, "bucket", "id", bucket_rows), dim, k, radius).distinct()
     names = reps.select("key", "id", "g")
     return (

@@ -48,6 +48,16 @@ def test_nearest_without_a_radius_is_complete(spark, bucket_rows):
     assert {(x["id"], x["other"]) for x in rows} == exact(vs, 10, np.inf) and len(rows) == 10 * len(vs)
 
 
+@pytest.mark.parametrize(("radius", "bucket_rows"), [(None, 4000), (None, 300), (5.0, 4000)])
+def test_nearest_ties_go_to_the_smaller_id(spark, radius, bucket_rows):
+    # all corners of a small cube are as far from its middle, and all lie in one bucket
+    corners = [[1.0 if i >> b & 1 else -1.0 for b in range(10)] + [900.0] for i in range(1024)]
+    vs = [(i * 37 % 1024, 0, e) for i, e in enumerate(corners)] + [(5000, 0, [0.0] * 10 + [900.0])]
+    df = spark.createDataFrame(vs, "id bigint, g int, e array<float>")
+    rows = nearest.nearest(df, "id", "e", "g", k=5, dim=11, radius=radius, bucket_rows=bucket_rows, rotations=1, tables=1, probes=1).where("id = 5000").collect()
+    assert sorted((x["place"], x["other"]) for x in rows) == [(i + 1, i) for i in range(5)]
+
+
 def test_neighbours_of_vectors_far_from_all_others(spark, tmp_path):
     r = np.random.default_rng(4)
     vs = [(i, 1, [float(x) for x in np.float32(r.normal(size=64))]) for i in range(60)]
