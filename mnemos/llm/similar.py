@@ -15,8 +15,10 @@ One trie over everything would meet most pairs of its upper nodes, so it is cut
 into groups first, by the rarest words: bags above the threshold share one of
 the first ``n - ceil(t n) + 1`` words in a common order, rarest first, and two
 of the first ``n - ceil(t n) + 2``. A rare word makes a group; for a frequent
-word the group is made by it and a second word. Groups still too large for
-one task are compared in pairs of blocks.
+word the group is made by it and a second word. At thresholds of 0.5 or less one
+common word may link short bags, which then share no second one, so among them a
+frequent word makes a group alone as well.
+Groups still too large for one task are compared in pairs of blocks.
 
 Texts with equal bags are one class; classes are compared, not their copies.
 """
@@ -93,7 +95,9 @@ def _keys(tokens: pa.Array, t: Fraction, often: np.ndarray, counts: np.ndarray)
     one, two = place < p1, place < p1 + 1
     out_row, out_key = [row[one & ~hot]], [h[one & ~hot]]
     long_floor = LONG * t.numerator // t.denominator
-    alone = one & hot & (size[row] >= long_floor)
+    # bags of more words than 1 / t need two in common; above 0.5 bags that need one have one and are equal
+    lone = (need == 1)[row] & (2 * t.numerator <= t.denominator)
+    alone = one & hot & ((size[row] >= long_floor) | lone)
     out_row.append(row[alone])
     out_key.append(h[alone] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     short = size[row] < LONG

@@ -105,6 +105,14 @@ def test_similar_pairs_lose_nothing(spark, monkeypatch, hot, rows, long):
     assert got.keys() == want and (905, 906) in got and got[905, 906] == (4000, 5000)
 
 
+@pytest.mark.parametrize(("threshold", "rows"), [("0.5", 8000), ("0.3", 8000), ("0.3", 60)])
+def test_similar_pairs_by_one_frequent_word(spark, threshold, rows):
+    data = [(0, "a")] + [(i, f"a b{i}") for i in range(1, 231)] + [(1000 + i, f"a c{i} b{i} d") for i in range(1, 41)]
+    assert len(data) > similar.HOT
+    got = {(x["a"], x["b"]) for x in similar.similar_pairs(spark.createDataFrame(data, "id bigint, t string"), "id", "t", threshold, rows).collect()}
+    assert got == {(a, b) for k, (a, x) in enumerate(data) for b, y in data[k + 1 :] if overlap(x, y) >= float(threshold) - 1e-12} and (0, 1) in got
+
+
 def test_similar_groups_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f h"), (3, "a b c d e i h"), (4, "z"), (5, "Z!"), (6, None)], "id bigint, t string")
     got = {r["id"]: (r["class"], r["links"], r["group"]) for r in similar.similar_groups(df, "id", "t").collect()}
