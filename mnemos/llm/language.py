@@ -3,7 +3,8 @@
 Method: sparse multinomial logistic regression on TF-IDF character n-grams,
 trained with follow-the-regularised-leader and elastic-net penalties, then
 calibrated with one temperature. The labels it learns from are those the
-documents carry, wrong ones among them, from a bounded seeded sample.
+documents carry, wrong ones among them, from a bounded seeded sample; how rare an
+n-gram is, is counted over all documents.
 
 A text's score is the mean over its words, so each word has scores of its own;
 segments are the best path through them when a change of language costs
@@ -16,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +75,48 @@ def running_words(text: str) -> tuple[list[str], list[int], list[bool]]:
     return out, at, begins
 
 
-def _grams(word: str) -> list[int]:
+@lru_cache(20_000)
+def _grams(word: str) -> tuple[int, ...]:
     w = f"^{word}$"
-    return [zlib.crc32(w[i : i + n].encode()) & ((1 << BITS) - 1) for n in GRAMS for i in range(len(w) - n + 1)]
+    return tuple(zlib.crc32(w[i : i + n].encode()) & ((1 << BITS) - 1) for n in GRAMS for i in range(len(w) - n + 1))
+
+
+def _chunks(words: list[str]) -> list[list[str]]:
+    return [words[i : i + CHUNK] for i in range(0, len(words) - CHUNK // 2, CHUNK)]
+
+
+def _count(df: np.ndarray, chunks: list[list[str]]) -> None:
+    """Adds the chunks to ``df``: in how many each n-gram occurs, and at the end how many there are."""
+    for lo in range(0, len(chunks), 10_000):
+        some, known = chunks[lo : lo + 10_000], {}
+        word = np.array([known.setdefault(w, len(known)) for c in some for w in c])
+        grams = [_grams(w) for w in known]
+        size = np.array([len(g) for g in grams])
+        column = np.array([i for g in grams for i in g])
+        many, start = size[word], (np.cumsum(size) - size)[word]
+        at = np.arange(many.sum()) + np.repeat(start - (np.cumsum(many) - many), many)
+        owner = np.repeat(np.repeat(np.arange(len(some)), [len(c) for c in some]), many)
+        key = np.sort((owner << BITS) | column[at])  # np.unique hashes, which is slower here
+        df[:-1] += np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] & ((1 << BITS) - 1), minlength=1 << BITS)
+        df[-1] += len(some)
+
+
+def gram_counts(documents: DataFrame, text: str) -> np.ndarray:
+    """In how many chunks of all documents each hashed n-gram occurs, and at the end the
+    number of chunks; the driver gathers 2^BITS + 1 numbers at most."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros((1 << BITS) + 1, np.int64)
+        for b in batches:
+            _count(df, [c for t in b.column(0).to_pylist() for c in _chunks(running_words(t)[0])])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["gram", "n"])
+
+    picked = documents.select(F.col(text).alias("t")).where("t is not null")
+    found = picked.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((1 << BITS) + 1, np.int64)
+    out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 class Model:
@@ -111,20 +152,20 @@ class Model:
             found = self._seen[word] = (val @ self.weights[idx]).astype(np.float32)
         return found
 
-    def fit(self, texts: Sequence[str], labels: Sequence[str], seed: int = 5) -> Model:
+    def fit(self, texts: Sequence[str], labels: Sequence[str], seed: int = 5, counts: np.ndarray | None = None) -> Model:
+        """``counts`` are those of ``gram_counts``; without them the texts' own are taken."""
         rng = np.random.default_rng(seed)
         chunks, ys = [], []
         for text, lang in zip(texts, labels):
-            words = running_words(text)[0]
-            for i in range(0, len(words) - CHUNK // 2, CHUNK):
-                chunks.append(words[i : i + CHUNK])
-                ys.append(self.languages.index(lang))
+            more = _chunks(running_words(text)[0])
+            chunks += more
+            ys += [self.languages.index(lang)] * len(more)
         if not chunks:
             return self
-        df = np.zeros(1 << BITS)
-        for c in chunks:
-            df[list({i for w in c for i in _grams(w)})] += 1
-        self.idf = np.log((1 + len(chunks)) / (1 + df)).astype(np.float32)
+        if counts is None:
+            counts = np.zeros((1 << BITS) + 1, np.int64)
+            _count(counts, chunks)
+        self.idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32)
         data = [self.vector(c) for c in chunks]
         order = rng.permutation(len(data))
         held, train = order[: len(data) // 10], order[len(data) // 10 :]
@@ -204,14 +245,14 @@ def _paths(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, gain: floa
 
 def train(documents: DataFrame, doc_id: str, text: str, lang: str, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> Model:
     """Fits a model on at most ``sample`` documents of each language, those with the lowest
-    hash of their id; the driver gathers no more. Documents without words or a label that names
+    hash of their id, with the n-grams' rarity in all documents; the driver gathers no more. Documents without words or a label that names
     one of the languages are passed over; without any, the model knows nothing and gives all languages alike."""
     known = documents.select(F.xxhash64(F.lit(3), doc_id).alias("h"), label(F.col(lang)).alias("lang"), F.col(text).alias("text"))
     known = known.where(F.col("lang").isin(*languages) & (F.length("text") > 40))
     w = Window.partitionBy("lang").orderBy("h", "text")
     rows = known.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).select("lang", "text", "h").collect()
     rows.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
-    return Model(languages).fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    return Model(languages).fit([r["text"] for r in rows], [r["lang"] for r in rows], counts=gram_counts(documents, text))
 
 
 def segments(documents: DataFrame, doc_id: str, text: str, model: Model) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from mnemos.llm import language, leaks, mix
@@ -104,6 +105,16 @@ def test_language_accuracy_and_segments(spark):
     assert language.segments(held, "id", "t", untrained).count() > 0 and language.segments(held.limit(0), "id", "t", model).isEmpty()
 
 
+def test_rarity_is_counted_over_all_documents(spark):
+    rows = [(i, t, l) for i, t, l, _ in corpus()] + [(9000, None, "en"), (9001, SENTENCES["fr"], None)]
+    model = language.train(spark.createDataFrame(rows, "id bigint, t string, l string"), "id", "t", "l", ("de", "en", "fr"), 2)
+    words = [language.running_words(t)[0] for _, t, _ in rows if t]
+    chunks = [w[i : i + 8] for w in words for i in range(0, len(w) - 4, 8)]
+    seen = [{g for w in c for g in language._grams(w)} for c in chunks]
+    for g in set().union(*seen):
+        assert model.idf[g] == pytest.approx(np.log((1 + len(chunks)) / (1 + sum(g in s for s in seen))), rel=1e-5)
+
+
 def test_running_words_and_labels(spark):
     text = 'Fix `load_it` now (#12)\n"fichier introuvable dans le"\n# Conflicts:\n> quoted line\nSigned-off-by: A B <a@b.c>\nupdate-type: minor\nsee src/a.go:12 and a_b l\'été'
     assert language.running_words(text)[0] == ["fix", "now", "see", "and", "l'été"]
