@@ -59,12 +59,27 @@ class Memory:
     lengths: DataFrame
     neighbours: DataFrame
     vectors: DataFrame | None = None
+    corpus: DataFrame | None = None  # a row per graph, see ``textindex.corpus``
+
+    def sizes(self) -> dict[int, tuple[int, float]]:
+        """Per graph its number of facts and their mean length in terms, asked once; a row per graph reaches the driver."""
+        found = self.__dict__.get("_sizes")
+        if found is None:
+            from mnemos.operators.textindex import corpus
+
+            stats = self.corpus if self.corpus is not None else corpus(self.lengths)
+            found = {r["graph_id"]: (r["docs"], r["avgdl"]) for r in stats.collect()}
+            object.__setattr__(self, "_sizes", found)
+        return found
 
     def kept(self) -> Memory:
-        """The same with its tables written out, for several searches."""
+        """The same with its tables written out, for several searches; ``session.scratch`` ends their life."""
+        from mnemos.operators.textindex import corpus
         from mnemos.session import cut
 
-        return Memory(*(cut(t) if t is not None else None for t in (self.facts, self.edges, self.postings, self.lengths, self.neighbours, self.vectors)))
+        lens = cut(self.lengths)
+        rest = [cut(t) if t is not None else None for t in (self.neighbours, self.vectors)]
+        return Memory(cut(self.facts), cut(self.edges), cut(self.postings), lens, *rest, cut(corpus(lens)))
 
 
 def unsigned(key):

@@ -73,7 +73,8 @@ def transmitting(observed: DataFrame, rates: DataFrame, named: DataFrame, depth:
     marked = observed.join(named.select("query_id", *ANCHOR, F.lit(True).alias("named")).distinct(), ["query_id", *ANCHOR], "left")
     all_of = marked.join(rates, "query_id").join(F.broadcast(depth), "query_id")
     is_named = F.coalesce("named", F.lit(False))
-    more = F.col("mass") * F.col("total_degree") > F.col("degree") * F.col("total_mass") * F.when(F.col("depth") == 1, 2.0).otherwise(1.0)
+    fair = F.col("degree") * F.col("total_mass") * F.when(F.col("depth") == 1, 2.0).otherwise(1.0)
+    more = F.col("mass") * F.col("total_degree") > fair * (1 + 1e-12)  # equal shares stay silent whatever order they were added in
     return all_of.where(is_named | more).select("query_id", *ANCHOR, "mass", "seeds", "degree", "rate", is_named.alias("named"))
 
 

@@ -55,13 +55,13 @@ def coverage(score: Column, matched: Column, known: Column) -> Column:
     return score * F.floor(matched * 1024) / (F.floor(known * 1024) + 1)
 
 
-def weighted_terms(query_terms: DataFrame, posts: DataFrame, lens: DataFrame, relevance: str = "bm25") -> DataFrame:
+def weighted_terms(query_terms: DataFrame, posts: DataFrame, lens: DataFrame, relevance: str = "bm25", stats: DataFrame | None = None) -> DataFrame:
     """(query_id, graph_id, term, df, docs, avgdl, weight, bits) of the queries' terms that
-    some fact holds. ``query_terms``: (query_id, graph_id, term), repeats as asked."""
+    some fact holds. ``query_terms``: (query_id, graph_id, term), repeats as asked; ``stats``: ``corpus(lens)``, where it is kept."""
     asked = query_terms.groupBy("query_id", "graph_id", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = asked.select("graph_id", "term").distinct()
     df = frequencies(posts.join(wanted, ["graph_id", "term"], "left_semi"))
-    rows = asked.join(df, ["graph_id", "term"]).join(corpus(lens), "graph_id")
+    rows = asked.join(df, ["graph_id", "term"]).join(corpus(lens) if stats is None else F.broadcast(stats), "graph_id")
     weight = F.col("times").cast("double") if relevance == "matchcount" else idf(F.col("df"), F.col("docs"))
     return rows.select("query_id", "graph_id", "term", "df", "docs", "avgdl", weight.alias("weight"), (-F.log2(F.col("df") / F.col("docs"))).alias("bits"))
 

@@ -79,6 +79,10 @@ class Found:
 
 #: Up to so many different terms are named in the scan's filter.
 MANY_TERMS = 1000
+#: Tables of up to so many rows go through the driver and are broadcast; larger ones stay distributed.
+SMALL_ROWS = 20_000
+#: Places from which on a list counts them as one.
+LAST_RANK = 65535
 
 CONTRIBUTION = "query_id bigint, graph_id smallint, fact_key bigint, source string, score double, list_rank int, via_kind string, via string, degree bigint, cnt bigint, named boolean, held double"
 
@@ -92,8 +96,20 @@ def _contribution(rows: DataFrame, **columns) -> DataFrame:
     return rows.select(*out)
 
 
-def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(), now: datetime | None = None) -> Found:
+def _first(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each key with their place from 0; each task passes on that many at most."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < most)
+
+
+def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(), now: datetime | None = None, ranks: bool = True, whole: bool = False) -> Found:
+    """``ranks``: whether contributions carry their place in the list they came from; off,
+    lists are only cut to their seeds. ``whole``: ``hits`` are all candidates, unordered and without place or text.
+
+    Scores are compared to nine digits, so that the order doesn't hang on the order of sums.
+    """
     spark = memory.facts.sparkSession
+    ranks = ranks or config.scorer == "rrf"
     now = now or datetime.now(timezone.utc)
     rows = [(r.query_id, r.graph_id, r.lanes, r.top, max(config.seed_size, r.top), r.since, r.until, r.since_clock, r.until_clock, r.alone) for r in recalls]
     schema = "query_id bigint, graph_id smallint, depth int, top int, seed_k int, since timestamp, until timestamp, since_clock string, until_clock string, alone boolean"
@@ -129,24 +145,42 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
     parts, seed_parts, cuts = [], [], []
     none = spark.createDataFrame([], "query_id bigint, missed double")
     missed, weighted = none, None
+    most_seeds = max((max(config.seed_size, r.top) for r in recalls), default=0)
 
     def kept_once(df: DataFrame) -> DataFrame:
         """Several later stages read it: written to the shared folder, which also keeps their plans small."""
         cuts.append(cut(df))
         return cuts[-1]
 
+    def gathered(table) -> DataFrame:
+        """A small table as the driver holds it, in one partition, so that what follows needs no shuffle."""
+        return spark.createDataFrame(table).coalesce(1)
+
     def small(df: DataFrame) -> DataFrame:
         """A table bounded by what was asked (terms, or the seeds of each question and their
-        anchors), through the driver: what follows joins it by broadcast."""
-        return F.broadcast(spark.createDataFrame(df.collect(), df.schema))
-
-    def pooled(ranked: DataFrame, source: str) -> DataFrame:
-        """The first reading in order, with places from 0; the heads of every reading are seeds."""
-        w = Window.partitionBy("query_id", "reading").orderBy(F.col("score").desc(), unsigned("fact_key"))
-        placed = kept_once(ranked.withColumn("place", F.row_number().over(w) - 1))
-        heads = placed.join(asked.select("query_id", "seed_k"), "query_id").where("place < seed_k")
+        anchors): through the driver up to a size, so that what follows joins it by broadcast."""
+        table = df.limit(SMALL_ROWS + 1).toArrow()
+        return F.broadcast(gathered(table)) if table.num_rows <= SMALL_ROWS else kept_once(df)
+
+    def candidates(df: DataFrame, guess: int) -> DataFrame:
+        """Candidates, about ``guess`` of them: few go through the driver, others over the shared folder."""
+        if guess <= SMALL_ROWS:
+            table = df.limit(SMALL_ROWS + 1).toArrow()
+            if table.num_rows <= SMALL_ROWS:
+                return gathered(table)
+        return kept_once(df)
+
+    def pooled(scored: DataFrame, source: str, guess: int) -> DataFrame:
+        """The first reading, with places from 0 if they are asked for; the heads of every reading are seeds."""
+        best = [F.round("score", 9).desc(), unsigned("fact_key")]
+        scored = candidates(scored, guess)
+        heads = _first(scored, ["query_id", "reading"], best, most_seeds).join(asked.select("query_id", "seed_k"), "query_id").where("place < seed_k")
         seed_parts.append(heads.select("query_id", "graph_id", "fact_key", F.lit(source).alias("source")).distinct())
-        return placed.where("reading = 0").drop("reading")
+        first = scored.where("reading = 0").drop("reading")
+        if not ranks:
+            return first.withColumn("place", F.lit(None).cast("int"))
+        placed = _first(first, ["query_id"], best, LAST_RANK).select("query_id", "graph_id", "fact_key", "place")
+        return first.join(placed, ["query_id", "graph_id", "fact_key"], "left").withColumn("place", F.coalesce("place", F.lit(LAST_RANK)))
 
     texts = [(r.query_id, r.graph_id, t) for r in recalls for t in query_terms(" ".join(r.keywords), config.stemming)]
     if texts:
@@ -154,7 +188,10 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         posts, wanted_terms = memory.postings, sorted({t for _, _, t in texts})
         if len(wanted_terms) <= MANY_TERMS:
             posts = posts.where(F.col("term").isin(wanted_terms))  # reaches the scan
-        weighted = small(textindex.weighted_terms(F.broadcast(asked_terms), posts, memory.lengths, config.relevance))
+        stats = F.broadcast(spark.createDataFrame(list(memory.sizes().items()), "graph_id smallint, s struct<docs: bigint, avgdl: double>").select("graph_id", "s.*"))
+        weighted = small(textindex.weighted_terms(F.broadcast(asked_terms), posts, memory.lengths, config.relevance, stats))
+        # a fact that holds a term lends it to its neighbours, mostly not more than eight
+        guess = sum(min(r["docs"], r["df"] * (8 if config.window_gamma > 0 else 1)) for r in weighted.select("docs", "df").toLocalIterator())
         found = textindex.matches(weighted, posts)
         kept = readings(found)
         if config.window_gamma > 0:
@@ -175,21 +212,21 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
             counted = kept.withColumn("tf", F.col("tf").cast("double"))
             docs = counted.select("query_id", "reading", "graph_id", "fact_key").distinct()
             lens = docs.join(memory.lengths, ["graph_id", "fact_key"])
-        text = pooled(textindex.relevances(counted, weighted, lens, config.relevance), "text")
+        text = pooled(textindex.relevances(counted, weighted, lens, config.relevance), "text", guess)
         bits = textindex.held_bits(found, weighted)
         text = text.join(bits, ["query_id", "fact_key"], "left")
-        parts.append(_contribution(text, source="text", list_rank=F.least("place", F.lit(65535)), cnt=1, named=False, held=F.when(F.col("total") > 0, F.col("held") / F.col("total"))))
+        parts.append(_contribution(text, source="text", list_rank=F.col("place"), cnt=1, named=False, held=F.when(F.col("total") > 0, F.col("held") / F.col("total"))))
         with_vector = [r.query_id for r in recalls if r.vector and r.keywords]
         if with_vector:
-            best = text.where((F.col("place") == 0) & (F.col("held") > 0) & F.col("query_id").isin(*with_vector))
+            best = _first(text.where(F.col("query_id").isin(*with_vector)).drop("place"), ["query_id"], [F.round("score", 9).desc(), unsigned("fact_key")], 1).where("held > 0")
             missed = small(best.select("query_id", ((F.col("total") - F.col("held")) / F.col("held")).alias("missed")))
 
     wanted = [(r.query_id, r.graph_id, list(map(float, r.vector))) for r in recalls if r.vector]
     if wanted and memory.vectors is not None:
         about = spark.createDataFrame(wanted, "query_id bigint, graph_id smallint, vector array<double>")
         near = readings(vectors.nearest_exact(about, memory.vectors))
-        near = pooled(near.withColumn("score", -F.col("distance")), "vector").withColumn("score", vectors.similarity(F.col("distance")))
-        parts.append(_contribution(near, source="vector", list_rank=F.least("place", F.lit(65535)), cnt=1, named=False))
+        near = pooled(near.withColumn("score", -F.col("distance")), "vector", sum(memory.sizes().get(g, (0,))[0] for _, g, _ in wanted)).withColumn("score", vectors.similarity(F.col("distance")))
+        parts.append(_contribution(near, source="vector", list_rank=F.col("place"), cnt=1, named=False))
 
     alone = [r.query_id for r in recalls if r.alone and r.anchored]
     if alone:
@@ -204,11 +241,10 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
     seeds = spark.createDataFrame([], "query_id bigint, graph_id smallint, fact_key bigint, source string")
     for p in seed_parts:
         seeds = seeds.unionByName(p)
-    if seed_parts:
-        seeds = small(seeds)
     rates = spark.createDataFrame([], "query_id bigint, total_mass double, total_degree bigint, rate double")
     walking = [r.query_id for r in recalls if r.anchored and not r.alone and r.lanes >= 1]
     if walking and config.traversal != "none":
+        seeds = small(seeds)
         distinct = seeds.where(F.col("query_id").isin(*walking)).select("query_id", "graph_id", "fact_key").distinct()
         about = seen.join(F.broadcast(distinct), ["query_id", "graph_id", "fact_key"], "left_semi")
         masses = small(scoring.folded(about, missed, rates).select("query_id", "graph_id", "fact_key", "mass"))
@@ -220,20 +256,30 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
             _contribution(more, source="graph", score=F.col("mass"), list_rank=0, degree=F.least("degree", F.lit(4294967295)), cnt=F.least("seeds", F.lit(65535)))
         )
     pool = window(scoring.folded(seen, F.broadcast(missed), F.broadcast(rates)))
-    pool = scoring.scored(pool, config.scorer)
-    pool = pool.join(memory.facts, ["graph_id", "fact_key"])
-    moment = F.lit(now)
-    pool = pool.withColumn("decay", clocks.decayed(F.lit(1.0), F.col("written_at"), moment, config.half_life_s))
-    pool = pool.withColumns({"score": F.col("relevance") * F.col("decay"), "last": clocks.last_start(clocks.intervals("happened"))})
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("last").desc(), unsigned("fact_key"))
-    ranked = pool.join(asked.select("query_id", "top", "alone"), "query_id").withColumn("place", F.row_number().over(order))
-    hits = ranked.where("top <= 0 or place <= top") if any(r.top <= 0 for r in recalls) else ranked.where(F.col("place") <= max(r.top for r in recalls)).where("place <= top")
+    scored = scoring.scored(pool, config.scorer)
+    pool = scored.join(memory.facts.select("graph_id", "fact_key", "value"), ["graph_id", "fact_key"])
+    marks = seeds.select("query_id", "graph_id", "fact_key").distinct().withColumn("seed", F.lit(True))
+    extra = {"missed": missed, "asked": asked, "now": now, "cuts": cuts}
+    terms = weighted if weighted is not None else spark.createDataFrame([], "query_id bigint, term string")
+    keys = ["graph_id", "fact_key"]
+    if whole:
+        return Found(scored.select("query_id", *keys, "relevance"), seen, pool, seeds, terms, rates, extra)
+    # the text of the facts is read for the hits only
+    times = memory.facts.select(*keys, "written_at", "said_at", "occurred")
+    timed = scored.select("query_id", *keys, "relevance").join(times, keys)
+    timed = timed.withColumn("decay", clocks.decayed(F.lit(1.0), F.col("written_at"), F.lit(now), config.half_life_s))
+    timed = timed.select("query_id", *keys, "relevance", "decay", (F.col("relevance") * F.col("decay")).alias("score"), clocks.last_start(clocks.intervals("happened")).alias("last"))
+    order = [F.round("score", 9).desc(), F.col("last").desc(), unsigned("fact_key")]
+    if any(r.top <= 0 for r in recalls):
+        ranked = timed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1)
+    else:
+        ranked = _first(timed, ["query_id"], order, max(r.top for r in recalls))
+    ranked = ranked.join(asked.select("query_id", "top", "alone"), "query_id").withColumn("place", F.col("place") + 1).where("top <= 0 or place <= top")
     if config.min_score_ratio > 0:
         best = F.max("relevance").over(Window.partitionBy("query_id"))
-        hits = hits.withColumn("__best", best).where(F.col("relevance") >= config.min_score_ratio * F.col("__best")).drop("__best")
-        hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
-    marks = seeds.select("query_id", "fact_key").distinct().withColumn("seed", F.lit(True))
-    hits = hits.join(marks, ["query_id", "fact_key"], "left").withColumn("seed", F.col("alone") | F.coalesce("seed", F.lit(False)))
+        ranked = ranked.withColumn("__best", best).where(F.col("relevance") >= config.min_score_ratio * F.col("__best")).drop("__best")
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    ranked = ranked.join(marks, ["query_id", *keys], "left").withColumn("seed", F.col("alone") | F.coalesce("seed", F.lit(False)))
+    hits = memory.facts.join(F.broadcast(ranked) if len(recalls) * max((r.top or SMALL_ROWS for r in recalls), default=0) <= SMALL_ROWS else ranked, keys)
     hits = hits.select("query_id", "place", "graph_id", "fact_key", "value", "written_at", "said_at", "occurred", "relevance", "decay", "score", "seed")
-    terms = weighted if weighted is not None else spark.createDataFrame([], "query_id bigint, term string")
-    return Found(hits, seen, pool, seeds, terms, rates, {"missed": missed, "asked": asked, "now": now, "cuts": cuts})
+    return Found(hits, seen, pool, seeds, terms, rates, extra)

@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemos.functions import clocks
-from mnemos.model import Config
 from mnemos.operators import anchors as A
 from mnemos.operators import answers, ingest, scoring, textindex, vectors
-from mnemos.plans.search import Recall, search
 from mnemos.sources.tables import table
 
 NOW = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -458,40 +456,3 @@ def cascade_delete(spark, d):
     gone = table(spark, d, "hits").select(*keys).distinct()
     left = [(k, t.join(gone, keys, "left_anti").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))) for k, t in (("fact", f), ("edge", e))]
     return left[0][1].select(F.lit("fact").alias("kind"), "graph_id", "n").unionAll(left[1][1].select(F.lit("edge").alias("kind"), "graph_id", "n"))
-
-
-@query(f"""with {_ASKED}, {_BM25},
-s as (select query_id, avg(score) as m, stddev_pop(score) as sd from bm25 group by all),
-fin as (
-  select query_id, fact_key, (case when sd > 0 then 1 + greatest((score - m) / sd, 0) else score end)
-    * pow(0.5, greatest(0, (1735689600000000 - epoch_us(written_at)) / 1e6) / {HALF_LIFE}) as final
-  from bm25 join s using (query_id) join facts using (graph_id, fact_key)
-)
-select query_id, fact_key, round(final, 6) as score from fin qualify row_number() over (partition by query_id order by round(final, 9) desc, fact_key) <= 10""")
-def recall_text(spark, d):
-    """Text recalls end to end: relevance, coverage, fold, decay, ranking."""
-    posts, lens = _text(spark, d)
-    w = textindex.weighted_terms(_asked(spark, d), posts, lens)
-    found = textindex.matches(w, posts).withColumn("reading", F.lit(0))
-    docs = found.select("query_id", "reading", "graph_id", "fact_key").distinct().join(lens, ["graph_id", "fact_key"])
-    text = textindex.relevances(found, w, docs)
-    none = F.lit(None)
-    seen = text.select("query_id", "graph_id", "fact_key", F.lit("text").alias("source"), "score", F.lit(0).alias("list_rank"), none.cast("string").alias("via_kind"), none.cast("string").alias("via"), none.cast("bigint").alias("degree"), F.lit(False).alias("named"), none.cast("double").alias("held"))
-    empty = spark.createDataFrame([], "query_id bigint, missed double")
-    pool = scoring.scored(scoring.folded(seen, empty, empty.withColumnRenamed("missed", "rate")))
-    pool = pool.join(_facts(spark, d), ["graph_id", "fact_key"])
-    final = clocks.decayed(F.col("relevance"), F.col("written_at"), F.lit(NOW), HALF_LIFE)
-    w2 = Window.partitionBy("query_id").orderBy(F.round("final", 9).desc(), "fact_key")
-    ranked = pool.withColumn("final", final).withColumn("n", F.row_number().over(w2)).where("n <= 10")
-    return ranked.select("query_id", "fact_key", F.round("final", 6).alias("score"))
-
-
-@query()
-def recall_full(spark, d):
-    """A batch of recalls with terms, anchors and windows through the whole search."""
-    memory = ingest.memory_of(_log(spark, d)).kept()
-    asked = [
-        Recall(("harbour", "ledger"), graph_id=3, query_id=1), Recall(("kettle",), topics=("general",), graph_id=3, query_id=2),
-        Recall(topics=("field-notes",), graph_id=3, query_id=3), Recall(("frozen", "orchard"), entities=("isabella jozuweza",), graph_id=1, depth=2, since=SINCE, until=UNTIL, query_id=4),
-    ]
-    return search(memory, asked, Config(), NOW).hits.select("query_id", "place", "graph_id", "fact_key", "score", "seed")

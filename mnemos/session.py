@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -32,30 +37,66 @@ def session(master: str | None = None, app: str = "mnemos", **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine), a temporary folder is
-    made once per session and recorded under that setting.
+    Only where driver and executors are one machine's processes ("local", as in tests) may
+    it be unset: then a temporary folder is made once per session and recorded there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="mnemos-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+class _Scopes(threading.local):
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes, _left = _Scopes(), {}
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Files that ``cut`` writes inside are deleted at the end; what was derived from them
+    has to be written or collected by then. Without a scope they stay until the program ends."""
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.open.pop())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
     the result survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/mnemos-{uuid.uuid4().hex}"
+    if _scopes.open:
+        _scopes.open[-1].append(path)
+    else:
+        if not _left:
+            atexit.register(_delete_left)
+        _left.setdefault(spark.sparkContext.applicationId, (spark, []))[1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for text in paths:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _delete_left() -> None:
+    for spark, paths in _left.values():
+        if spark.sparkContext._jsc is not None:  # a stopped session has no file system any more
+            with suppress(Exception):
+                _delete(spark, paths)
+
+
 def drop_cut(spark: SparkSession, *cuts: DataFrame) -> None:
     """Delete files that ``cut`` wrote, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for df in cuts:
-        for f in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(conf).delete(path, True)
+    _delete(spark, [f.rsplit("/", 1)[0] for df in cuts for f in df.inputFiles()[:1]])
