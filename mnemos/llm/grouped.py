@@ -18,10 +18,15 @@ def bounds(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
 
-def over_groups(rows: DataFrame, key: str, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: T.StructType, at_least: int = 20_000) -> DataFrame:
+#: Rows of a task that compares groups; with more rows there are more tasks, not larger ones.
+TASK_ROWS = 500_000
+
+
+def over_groups(rows: DataFrame, key: str, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: T.StructType, at_least: int = 20_000, many: int = 0) -> DataFrame:
     """Shuffles ``rows`` by ``key`` (a long) and calls ``run`` with tables of whole
     groups, sorted by the key. A table holds ``at_least`` rows unless it is the
-    last, and one group more at most: callers bound the size of a group.
+    last, and one group more at most: callers bound the size of a group. ``many``
+    is the number of rows, roughly; it sets the number of tasks.
     """
 
     def feed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +52,7 @@ def over_groups(rows: DataFrame, key: str, run: Callable[[pa.Table], Iterator[pa
             yield from run(pa.Table.from_batches(held).combine_chunks())
 
     # the work follows the pairs in a group, not the bytes by which adaptive execution would join partitions
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // TASK_ROWS))
     return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(feed, schema)
 
 
@@ -71,7 +76,7 @@ def in_blocks(rows: DataFrame, key: str, row_id: str, most: int) -> DataFrame:
     """``rows`` with ``part``, ready for ``over_groups``: groups of more than ``most``
     rows are replaced by the pairs of their blocks (rows of part 0 and 1 are to be
     compared with each other, null: all with all). Exact, for the few groups that
-    no finer key could split."""
+    no finer key could split. ``rows`` are read three times: let them be written out."""
     names = rows.columns
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > most)
     large = sizes.select(key, F.ceil(F.col("__m") / most).cast("int").alias("__s"))

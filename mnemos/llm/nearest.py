@@ -7,13 +7,19 @@ vector lies in its bucket of every table and also looks into the bucket next to
 it, where the rotation with the narrowest decision takes its second-best axis
 (multiprobe). Candidates of a bucket are ranked by their exact distance.
 
+The number of rotations follows the largest group, so that a bucket of an even
+collection stays small at any size; the number of tables follows from the chance
+that vectors at the largest angle asked for meet, which is simulated.
+
 Crowded regions put many vectors into one bucket. No finer hash tells their
 nearest apart reliably, so a bucket above ``bucket_rows`` is compared in pairs of
 blocks, each a task of its own, which is exact. Nothing is dropped.
 
 Hashing finds near vectors only. Without a radius the nearest of a vector in an
-empty region count too, so then all vectors of a group are compared in pairs of
-blocks: complete, at a cost that grows with the square of the group.
+empty region count too. What hashing found then settles the vectors whose k-th
+neighbour is so near that the tables miss a pair at that angle once in a thousand
+times or less. The others are the questions of a second, exact pass against all
+vectors of their group, in blocks.
 
 Equal vectors are hashed once, as one class, and expanded at the end; a class of
 any size adds at most k + 1 of its ids to the work.
@@ -21,20 +27,25 @@ any size adds at most k + 1 of its ids to the work.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemos.llm.grouped import bounds, in_blocks, over_groups, pairs_within
+from mnemos.session import cut
 from mnemos.sources.tables import table
 
-TABLES = 3
-ROTATIONS = 2
 PROBES = 2
+EVEN_ROWS = 1_000  # rows of a bucket of an evenly spread group above which one more rotation is taken
+MEET = 0.95  # chance that two vectors at the largest angle asked for share a bucket
+SETTLED = 0.999  # the same at the angle up to which hashing alone is believed
+NEAR = 0.3  # the angle the tables are made for where no radius gives one
 BUCKET_ROWS = 4_000
 BLOCK = 512  # rows of a bucket from which distances are found by matrix products
 
@@ -80,22 +91,53 @@ def _codes(unit: np.ndarray, tables: int, rotations: int, probes: int, seed: int
             yield t, p, home + step[order[p - 1], rows]
 
 
-def _hashed(rows: DataFrame, dim: int, tables: int, rotations: int, probes: int, seed: int) -> DataFrame:
-    """From (g, id, low, e) rows to one row per bucket looked into: (bucket, id, low, guest, e); a guest only looks in."""
-    schema = T.StructType.fromDDL("g long, code long, id long, low long, guest boolean, e array<float>")
+@lru_cache(64)
+def _meeting(angle: float, dim: int, rotations: int, probes: int, seed: int, pairs: int = 2000) -> float:
+    """The chance that two vectors at ``angle`` meet in one table, from random pairs."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.normal(size=(pairs, dim))), rng.normal(size=(pairs, dim))
+    b = np.cos(angle) * a + np.sin(angle) * unit(b - (a * b).sum(axis=1, keepdims=True) * a) if dim > 1 else a
+    codes = [[(p, c) for _, p, c in _codes(x.astype(np.float32), 1, rotations, probes, seed)] for x in (a, b)]
+    met = np.zeros(pairs, bool)
+    for p, x in codes[0]:
+        for q, y in codes[1]:
+            if not p or not q:  # a guest meets those at home only
+                met |= x == y
+    return float(met.mean())
+
+
+def _tables_for(angle: float, dim: int, rotations: int, probes: int, seed: int) -> int:
+    p = _meeting(round(min(angle, 1.2), 2), dim, rotations, probes, seed)
+    return max(1, math.ceil(math.log(1 - MEET) / math.log(1 - p))) if 0 < p < 1 else 1
+
+
+def _settled_angle(dim: int, tables: int, rotations: int, probes: int, seed: int) -> float:
+    """The largest angle at which ``tables`` miss a pair rarely enough."""
+    sure = [a for a in np.arange(0.02, 1.0, 0.02).round(2) if (1 - _meeting(float(a), dim, rotations, probes, seed)) ** tables <= 1 - SETTLED]
+    return float(max(sure, default=0.0))
+
+
+def _hashed(reps: DataFrame, dim: int, tables: int, rotations: int, probes: int, seed: int) -> DataFrame:
+    """From (g, id, low, e) one row per bucket looked into: (bucket, id, low, guest, e); a
+    guest only looks in. The codes are found once and written beside the vectors."""
+    schema = T.StructType.fromDDL("g long, id long, low long, e array<float>, codes array<long>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            g, ids, low, vectors = b.columns
-            e = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            e = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
             unit = (e / np.sqrt((e * e).sum(axis=1, keepdims=True))).astype(np.float32)
-            for t, p, code in _codes(unit, tables, rotations, probes, seed):
-                yield pa.RecordBatch.from_arrays([g, pa.array(code * tables + t), ids, low, pa.array(np.full(len(e), p > 0)), vectors], schema.names)
+            # a code's lowest bit tells guests
+            codes = np.stack([((code * tables + t) << 1) | (p > 0) for t, p, code in _codes(unit, tables, rotations, probes, seed)], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1]), pa.int32()), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], schema.names)
 
-    hashed = rows.select(F.xxhash64("g").alias("g"), "id", "low", "e").mapInArrow(run, schema)
-    return hashed.select(F.xxhash64("g", "code").alias("bucket"), "id", "low", "guest", "e")
+    coded = cut(reps.mapInArrow(run, schema))
+    rows = coded.withColumn("code", F.explode("codes"))
+    home = F.shiftright("code", 1)
+    return rows.select(F.xxhash64("g", home).alias("bucket"), "id", "low", (F.col("code").bitwiseAND(1) == 1).alias("guest"), "e")
 
 
 def _ranked(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,11 +150,12 @@ def _ranked(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], low: np.ndar
     return a[ok], b[ok], d[ok]
 
 
-def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFrame:
-    """(id, other, distance): within each bucket (and pair of blocks) the k nearest of each row.
-    ``low`` breaks ties: the smallest id with the vector, as ``id`` is but a hash.
-    ``part`` 0 or 1: rows of part 0 and 1 are compared with each other; null: all with all."""
-    schema = T.StructType.fromDDL("id long, other long, distance double")
+def _compare(rows: DataFrame, dim: int, k: int, radius: float | None, many: int, guests: bool = True) -> DataFrame:
+    """(id, other, low, distance): within each bucket (and pair of blocks) the k nearest of each row.
+    ``low`` breaks ties: the smallest id with the other vector, as ``id`` is but a hash.
+    ``part`` 0 or 1: rows of part 0 and 1 are compared with each other; null: all with all.
+    Guests aren't compared with each other; without ``guests`` nothing is looked for on their behalf."""
+    schema = T.StructType.fromDDL("id long, other long, low long, distance double")
     limit = np.inf if radius is None else float(radius)
 
     def exact(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,7 +176,8 @@ def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFra
             d = exact(e, a, b)
             near = d <= limit
             a, b, d = a[near], b[near], d[near]
-            found.append((np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])))
+            two = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+            found.append(two if guests else tuple(x[~guest[two[0]]] for x in two))
             if sum(len(x[0]) for x in found) > 2_000_000:
                 found[:] = [_ranked(found, low, k)]
 
@@ -148,6 +192,7 @@ def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFra
             rows = np.arange(starts[g], starts[g + 1])
             sides = [(rows, rows)] if part[rows[0]] < 0 else [(rows[part[rows] == s], rows[part[rows] != s]) for s in (0, 1)]
             for left, right in sides:
+                left = left if guests else left[~guest[left]]
                 y = e[right].astype(np.float64)
                 norm = (y * y).sum(axis=1)
                 for i in range(0, len(left), BLOCK):
@@ -167,9 +212,9 @@ def _compare(rows: DataFrame, dim: int, k: int, radius: float | None) -> DataFra
                     found.append(_ranked([(a[near], b[near], d[near])], low, k))
         if found:
             a, b, d = _ranked(found, low, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d)], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(low[b]), pa.array(d)], schema.names)
 
-    return over_groups(rows, "bucket", run, schema)
+    return over_groups(rows, "bucket", run, schema, many=many)
 
 
 def nearest(
@@ -180,22 +225,21 @@ def nearest(
     k: int = 10,
     dim: int = 64,
     radius: float | None = None,
-    tables: int = TABLES,
-    rotations: int = ROTATIONS,
+    tables: int | None = None,
+    rotations: int | None = None,
     probes: int = PROBES,
     bucket_rows: int = BUCKET_ROWS,
     seed: int = 17,
-    complete: bool | None = None,
+    settle: bool | None = None,
 ) -> DataFrame:
     """(``vec_id``, other, distance, place): for every vector up to ``k`` nearest
     others by Euclidean distance, ties to the smaller id, at most ``radius`` away,
     among those with the same ``within``.
 
-    Accuracy: ``complete`` compares all vectors of a group in pairs of blocks of
-    ``bucket_rows`` and misses nothing; it is the default without a ``radius``.
-    Otherwise hashing finds neighbours whose angle is small nearly always, distant
-    ones of vectors without close neighbours often not; with a ``radius`` well
-    under the vectors' length the result is nearly complete (see the tests).
+    Accuracy: with a ``radius`` hashing alone finds nearly all; tables are made for the angle
+    at which that distance appears (two vectors at it meet with a chance of MEET, nearer ones more surely).
+    ``settle``, the default without a ``radius``, adds the exact pass for the vectors that hashing
+    doesn't settle, at a cost of their number times the size of their group.
 
     Defined cases: only vectors of ``dim`` finite numbers, not all zero, with an
     id and a ``within`` that are not null take part; repeated rows count once;
@@ -210,23 +254,37 @@ def nearest(
         .where("e is not null and id is not null and g is not null")
         .withColumns({"h1": F.xxhash64("g", "e"), "h2": F.xxhash64(F.lit(1), "e", "g")})
     )
-    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("e").alias("e"), F.first("g").alias("g"))
-    complete = radius is None if complete is None else complete
-    found = _candidates(classes, dim, k, radius, tables, rotations, probes, bucket_rows, seed, complete)
-    near = found.groupBy("id", "other", "g").agg(F.min("distance").alias("distance"))
-    w = Window.partitionBy("g", "id").orderBy("distance", "other")
-    near = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    settle = radius is None if settle is None else settle
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(_norm("e"), 0.05, 1000).alias("q"))
+    size = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most"), (F.sum(F.col("n") * F.col("q")) / F.sum("n")).alias("norm")).first()
+    many = size["all"] or 0
+    if rotations is None:
+        axes, rotations = 2 << (dim - 1).bit_length(), 2
+        while (size["most"] or 0) > EVEN_ROWS * axes**rotations and axes ** (rotations + 1) < 2**50:
+            rotations += 1
+    if tables is None:
+        angle = NEAR if radius is None or not size["norm"] else math.asin(min(1.0, radius / size["norm"]))
+        tables = _tables_for(angle, dim, rotations, probes, seed)
+
+    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.first("e").alias("e"), F.first("g").alias("g"))
+    reps = classes.select(F.xxhash64("g").alias("g"), F.col("h1").alias("id"), "low", "e")
+    buckets = _hashed(reps, dim, tables, rotations, probes, seed)
+    found = _compare(in_blocks(buckets, "bucket", "id", bucket_rows), dim, k, radius, many * tables * probes)
+    near = _nearest_of(found, k)
+    if settle:
+        near = cut(near)
+        sine = math.sin(_settled_angle(dim, tables, rotations, probes, seed))
+        last = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
+        marked = reps.join(last, "id", "left").withColumn("guest", F.coalesce((F.col("n") >= k) & (F.col("d") <= _norm("e") * sine), F.lit(False)))
+        blocks, copies = _question_blocks(cut(marked.select("g", "id", "low", "e", "guest")), bucket_rows)
+        near = _nearest_of(near.unionByName(_compare(blocks, dim, k, radius, copies, guests=False)), k)
 
     members = rows.select("h1", "h2", "g", "id").distinct()
     place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
     heads = members.withColumn("n", place).where(F.col("n") <= k + 1).groupBy("h1", "h2", "g").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    heads = heads.withColumn("rep", F.col("ids")[0])
-    h = heads.select("g", F.col("rep").alias("id"), "ids")
-    o = heads.select("g", F.col("rep").alias("other"), F.col("ids").alias("others"))
     apart = (
-        near.join(h, ["g", "id"])
-        .where(F.size("ids") <= k)
-        .join(o, ["g", "other"])
+        near.join(heads.where(F.size("ids") <= k).select(F.col("h1").alias("id"), "g", "ids"), "id")
+        .join(heads.select(F.col("h1").alias("other"), F.col("ids").alias("others")), "other")
         .select("g", F.explode("ids").alias("id"), "others", "distance")
         .select("g", "id", F.explode("others").alias("other"), "distance")
     )
@@ -235,29 +293,37 @@ def nearest(
         members.join(copies.select("h1", "h2", "ids"), ["h1", "h2"])
         .select("g", "id", F.explode("ids").alias("other"), F.lit(0.0).alias("distance"))
     )
-    both = apart.unionByName(same).where("id <> other").groupBy("g", "id", "other").agg(F.min("distance").alias("distance"))
+    both = apart.unionByName(same).where("id <> other").repartition("g", "id").groupBy("g", "id", "other").agg(F.min("distance").alias("distance"))
+    w = Window.partitionBy("g", "id").orderBy("distance", "other")
     out = both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     return out.select(F.col("id").alias(vec_id), "other", "distance", "place")
 
 
-def _candidates(classes: DataFrame, dim: int, k: int, radius: float | None, tables: int, rotations: int, probes: int, bucket_rows: int, seed: int, complete: bool) -> DataFrame:
-    """(id, other, distance, g) between different vectors."""
-    # an id may stand for different vectors of several groups, so rows are known by a number of their own
-    reps = classes.select(F.col("h1").alias("key"), "id", "g", "e")
-    if complete:
-        buckets = reps.select(F.xxhash64("g").alias("bucket"), F.col("key").alias("id"), F.col("id").alias("low"), F.lit(False).alias("guest"), "e")
-    else:
-        buckets = _hashed(reps.select("g", F.col("key").alias("id"), F.col("id").alias("low"), "e"), dim, tables, rotations, probes, seed)
-    pairs = _compare(in_blocks(buckets, "bucket", "id", bucket_rows), dim, k, radius).distinct()
-    names = reps.select("key", "id", "g")
-    return (
-        pairs.withColumnRenamed("id", "key")
-        .join(names, "key")
-        .drop("key")
-        .withColumnRenamed("other", "key")
-        .join(names.select("key", F.col("id").alias("other")), "key")
-        .select("id", "other", "distance", "g")
-    )
+def _norm(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+
+
+def _nearest_of(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each vector among what several buckets found: one shuffle."""
+    once = found.repartition("id").groupBy("id", "other").agg(F.min("low").alias("low"), F.min("distance").alias("distance"))
+    w = Window.partitionBy("id").orderBy("distance", "low")
+    return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def _question_blocks(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """``rows`` (g, id, low, e, guest) in pairs of blocks of about ``most``, for every pair of
+    which one holds questions (rows that are no guests); and how many rows that makes.
+    Questions and guests lie in blocks of their own."""
+    sizes = rows.groupBy("g").agg(F.count_if(~F.col("guest")).alias("u"), F.count_if("guest").alias("t"))
+    sizes = sizes.select("g", F.ceil(F.col("u") / most).cast("int").alias("su"), F.ceil(F.col("t") / most).cast("int").alias("st"), "u", "t")
+    copies = sizes.agg(F.sum(F.col("u") * (F.col("su") + F.col("st")) + F.col("t") * F.col("su")).alias("n")).first()["n"] or 0
+    at = rows.join(sizes.where("su > 0").drop("u", "t"), "g")
+    h = F.xxhash64("id")
+    own = F.when(F.col("guest"), F.col("su") + F.pmod(h, F.greatest("st", F.lit(1)))).otherwise(F.pmod(h, F.col("su"))).cast("int")
+    to = F.when(F.col("guest"), F.col("su")).otherwise(F.col("su") + F.col("st")) - 1
+    at = at.withColumn("r", own).withColumn("o", F.explode(F.sequence(F.lit(0), to)))
+    part = F.when(F.col("r") != F.col("o"), (F.col("r") > F.col("o")).cast("int")).alias("part")
+    return at.select(F.xxhash64("g", F.least("r", "o"), F.greatest("r", "o")).alias("bucket"), "id", "low", "guest", "e", part), int(copies)
 
 
 def _near(spark: SparkSession, folder: str, radius: float | None = None) -> DataFrame:
