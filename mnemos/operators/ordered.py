@@ -44,15 +44,16 @@ def running(
     following: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
     slices: int = SLICES,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Adds ``__sum`` (running sum of ``total`` up to and with the row) and, for
     each column of ``following``, ``__next_<column>`` of the next row of the key.
 
-    ``at`` must be unique within a key. ``df`` may already carry ``__slice``.
+    ``at``, with ``tie`` where it may repeat, must be unique within a key. ``df`` may already carry ``__slice``.
     """
     if SLICE not in df.columns:
         df = sliced(df, keys, at, hot_rows, slices)
-    here = Window.partitionBy(*keys, SLICE).orderBy(at)
+    here = Window.partitionBy(*keys, SLICE).orderBy(at, *tie)
     over = Window.partitionBy(*keys).orderBy(SLICE)
     up_to = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
@@ -61,7 +62,7 @@ def running(
         add["__sum"] = F.sum(total).over(up_to)
     summary = df.groupBy(*keys, SLICE).agg(
         (F.sum(total) if total else F.lit(0)).alias("__t"),
-        *(F.min_by(c, at).alias(f"__f_{c}") for c in following),
+        *(F.min_by(c, F.struct(at, *tie) if tie else F.col(at)).alias(f"__f_{c}") for c in following),
     )
     several = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     summary = summary.withColumns(
