@@ -40,11 +40,14 @@ WORD_GAIN = 1.5
 LEAST_WORDS = 12
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_NOT_TEXT = re.compile(
-    r"""`[^`]*`|"[^"\n]*(?:\n[^"\n]*)?"|“[^”]*”|„[^“”]*[“”]|«[^»]*»"""  # code and quotes
-    r"""|<[^>\s]*@[^>\s]*>|\S+@\S+|\w+://\S+|\(?\#\d+\)?"""  # addresses, numbers of issues
-    r"""|\S*[\w)]/[\w(]\S*|\b[\w-]+\.\w+:\d+|\b[\w-]+\.[a-z]{1,4}\b(?=[\s,;:)]|$)|\b\w*[_\d]\w*\b"""  # paths, files, identifiers
-)
+# What is no running text, each with a sign without which it can't occur: most texts hold few of them.
+_NOT_TEXT = (
+    ("`", r"`[^`]*`"), ('"', r'"[^"\n]*(?:\n[^"\n]*)?"'), ("“", r"“[^”]*”"), ("„", r"„[^“”]*[“”]"), ("«", r"«[^»]*»"),  # code and quotes
+    ("@", r"<[^>\s]*@[^>\s]*>|\S+@\S+"), ("://", r"\w+://\S+"), ("#", r"\(?\#\d+\)?"),  # addresses, numbers of issues
+    ("/", r"\S*[\w)]/[\w(]\S*"), (".", r"\b[\w-]+\.\w+:\d+|\b[\w-]+\.[a-z]{1,4}\b(?=[\s,;:)]|$)"),  # paths and files
+)
+_IDENTIFIER, _SIGN = r"\b\w*[_\d]\w*\b", re.compile(r"[_\d]")
+_ENDS = re.compile(r"[.!?;:]|\n\n")
 _NOT_LINE = re.compile(r"\s*(?:[#>|]|[\w-]+-by:|[a-z][\w-]*: *\S+ *$|[\w-]+: .*<\S+@\S+>)", re.I)
 
 
@@ -60,18 +63,26 @@ def label(lang: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
+@lru_cache(None)
+def _no_text(signs: tuple[bool, ...]) -> re.Pattern | None:
+    parts = [p for (_, p), there in zip(_NOT_TEXT, signs) if there] + [_IDENTIFIER] * signs[-1]
+    return re.compile("|".join(parts)) if parts else None
+
+
 def running_words(text: str) -> tuple[list[str], list[int], list[bool]]:
     """The words of the running text, where each starts in the text, and whether a sentence may begin there."""
-    blank = lambda m: " " * (m.end() - m.start())  # noqa: E731 - places stay as they are
-    lines = [" " * len(x) if _NOT_LINE.match(x) else x for x in text.split("\n")]
-    kept = _NOT_TEXT.sub(blank, "\n".join(lines))
+    kept = "\n".join([" " * len(x) if _NOT_LINE.match(x) else x for x in text.split("\n")])
+    pattern = _no_text((*[sign in kept for sign, _ in _NOT_TEXT], _SIGN.search(kept) is not None))
+    if pattern:
+        kept = pattern.sub(lambda m: " " * (m.end() - m.start()), kept)  # places stay as they are
     out, at, begins, end = [], [], [], 0
     for m in _WORD.finditer(kept):
-        between = kept[end : m.start()]
-        out.append(m.group().lower())
-        at.append(m.start())
-        begins.append(m.group()[0].isupper() or "\n\n" in between or any(c in ".!?;:" for c in between))
-        end = m.end()
+        start, after = m.span()
+        word, between = m.group(), kept[end:start]
+        out.append(word.lower())
+        at.append(start)
+        begins.append(word[0].isupper() or between != " " and _ENDS.search(between) is not None)
+        end = after
     return out, at, begins
 
 
@@ -249,23 +260,28 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, languages: Se
     one of the languages are passed over; without any, the model knows nothing and gives all languages alike."""
     known = documents.select(F.xxhash64(F.lit(3), doc_id).alias("h"), label(F.col(lang)).alias("lang"), F.col(text).alias("text"))
     known = known.where(F.col("lang").isin(*languages) & (F.length("text") > 40))
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    rows = known.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).select("lang", "text", "h").collect()
+    # each task passes on its first of a language to one of 64 places, so that no one gathers those of all tasks
+    for keys in (["lang", "place"], ["lang"]):
+        w = Window.partitionBy(*keys).orderBy("h", "text")
+        known = known.withColumn("place", F.pmod(F.spark_partition_id(), F.lit(64))) if "place" in keys else known
+        known = known.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).drop("n")
+    rows = known.select("lang", "text", "h").collect()
     rows.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
     return Model(languages).fit([r["text"] for r in rows], [r["lang"] for r in rows], counts=gram_counts(documents, text))
 
 
-def segments(documents: DataFrame, doc_id: str, text: str, model: Model) -> DataFrame:
-    """(``doc_id``, segment, lang, words, start_char, end_char, confidence): the parts of
+def segments(documents: DataFrame, doc_id: str, text: str, model: Model, *keep: str) -> DataFrame:
+    """(``doc_id``, segment, lang, words, start_char, end_char, confidence, and the columns ``keep`` of the document): the parts of
     each text's running words in one language, in order; ``confidence`` is the calibrated
     probability of the language over the part.
 
     Defined cases: null, empty and wordless texts have no rows; repeated rows give
     repeated rows; texts of any length are taken whole; other columns are ignored.
     """
-    picked = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
+    picked = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))).where("d is not null and t is not null")
     kinds = [picked.schema["d"].dataType, T.IntegerType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.DoubleType()]
-    names = [doc_id, "segment", "lang", "words", "start_char", "end_char", "confidence"]
+    names = [doc_id, "segment", "lang", "words", "start_char", "end_char", "confidence", *keep]
+    kinds += [f.dataType for f in picked.schema.fields[2:]]
     schema = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)])
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -295,16 +311,17 @@ def segments(documents: DataFrame, doc_id: str, text: str, model: Model) -> Data
             first = np.searchsorted(owner, owner, "left")
             columns = [
                 b.column(0).take(pa.array(owner)), np.arange(len(cut)) - first, [m.languages[k] for k in path[cut]],
-                many, np.array(at)[cut], np.array(ends)[last - 1], sure,
+                many, np.array(at)[cut], np.array(ends)[last - 1], sure, *(c.take(pa.array(owner)) for c in b.columns[2:]),
             ]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, to_arrow_type(k)) for c, k in zip(columns, kinds)], schema.names)
 
     return picked.mapInArrow(run, schema).toDF(*names)
 
 
-def per_language(parts: DataFrame, doc_id: str) -> DataFrame:
-    """(``doc_id``, lang, words, confidence): the segments of a document added up by language; repeated segments count once."""
-    return parts.distinct().groupBy(doc_id, "lang").agg(F.sum("words").alias("words"), (F.sum(F.col("confidence") * F.col("words")) / F.sum("words")).alias("confidence"))
+def per_language(parts: DataFrame, doc_id: str, *keep: str) -> DataFrame:
+    """(``doc_id``, ``keep``, lang, words, confidence): the segments of a document added up by language; repeated segments count once."""
+    once = parts.repartition(doc_id).distinct()  # one shuffle for both
+    return once.groupBy(doc_id, *keep, "lang").agg(F.sum("words").alias("words"), (F.sum(F.col("confidence") * F.col("words")) / F.sum("words")).alias("confidence"))
 
 
 def main_language(parts: DataFrame, doc_id: str) -> DataFrame:
@@ -314,24 +331,22 @@ def main_language(parts: DataFrame, doc_id: str) -> DataFrame:
     return best.select(doc_id, "b.lang", "b.words", "b.confidence", (F.col("b.words") / F.col("all")).alias("share"))
 
 
-def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, folder, "documents", "doc_id", "lang", "text").select("doc_id", "lang", message(F.col("text")).alias("text"))
-    return docs, segments(docs, "doc_id", "text", train(docs, "doc_id", "text", "lang"))
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "lang", "text").select("doc_id", "lang", message(F.col("text")).alias("text"), label(F.col("lang")).alias("named"))
+    return segments(docs, "doc_id", "text", train(docs, "doc_id", "text", "lang"), "named")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs, parts = _parts(spark, folder)
-    named = docs.select("doc_id", label(F.col("lang")).alias("named"))
-    long = per_language(parts, "doc_id").where(F.col("words") >= LEAST_WORDS)
-    return long.join(named, "doc_id").where(~F.col("lang").eqNullSafe(F.col("named"))).select("doc_id", "lang").distinct()
+    long = per_language(_parts(spark, folder), "doc_id", "named").where(F.col("words") >= LEAST_WORDS)
+    return long.where(~F.col("lang").eqNullSafe(F.col("named"))).select("doc_id", "lang").distinct()
 
 
 def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return main_language(_parts(spark, folder)[1], "doc_id")
+    return main_language(_parts(spark, folder), "doc_id")
 
 
 def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return _parts(spark, folder)[1]
+    return _parts(spark, folder).drop("named")
 
 
 QUERIES = {"p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}

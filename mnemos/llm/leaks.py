@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from mnemos.session import cut
 from mnemos.sources.tables import table
 
 #: Consecutive words that make a leak.
@@ -89,6 +90,12 @@ class _Grams:
         return [(self.items[i], a, b) for i, a, b in out]
 
 
+@lru_cache(2)
+def _shared(shipped, n: int) -> _Grams:
+    """The n-grams of a broadcast, made once per worker process, not per task."""
+    return _Grams(shipped.value, n)
+
+
 def leaked_spans(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = SPAN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(``doc_id``, ``item_id``, start_char, end_char, n_words): every maximal run
     of windows of ``n`` words that a document shares with an item, with its place in the text.
@@ -109,7 +116,7 @@ def leaked_spans(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
 
     def scan(shipped):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams = _Grams(shipped.value, n)
+            grams = _shared(shipped, n)
             for b in batches:
                 out: list[list] = [[] for _ in names]
                 at = []
@@ -148,15 +155,23 @@ def leaking(spans: DataFrame, doc_id: str, item_id: str) -> DataFrame:
     return spans.select(doc_id, item_id).distinct()
 
 
+#: Documents with leaks up to which their spans are shipped to the documents, about 100 bytes each.
+SHIPPED_DOCUMENTS = 500_000
+
+
 def decontaminate(documents: DataFrame, doc_id: str, text: str, spans: DataFrame, mode: str = "cut") -> DataFrame:
     """The documents without leaks: ``mode`` "cut" takes the spans out of the text
     (spans of several items that overlap are cut out once),
-    "drop" leaves the documents out. Documents with a null id stay as they are."""
-    found = spans.groupBy(doc_id).agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("__spans"))
-    if mode == "drop":
-        return documents.join(found, doc_id, "left_anti")
-    if mode != "cut":
+    "drop" leaves the documents out. Documents with a null id stay as they are.
+
+    The texts stay where they are read: the spans, few beside them, are broadcast.
+    Above SHIPPED_DOCUMENTS leaking documents only their texts are shuffled."""
+    if mode not in ("cut", "drop"):
         raise ValueError("mode must be cut or drop")
+    found = cut(spans.groupBy(doc_id).agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("__spans")))
+    few = found.count() <= SHIPPED_DOCUMENTS
+    if mode == "drop":
+        return documents.join(F.broadcast(found.select(doc_id)) if few else found, doc_id, "left_anti")
     empty = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     kept = F.aggregate(
         "__spans",
@@ -167,7 +182,7 @@ def decontaminate(documents: DataFrame, doc_id: str, text: str, spans: DataFrame
         ),
         lambda s: F.concat(s["kept"], F.substr(F.col(text), (s["at"] + 1).cast("int"))),
     )
-    joined = documents.join(found, doc_id, "left")
+    joined = documents.join(F.broadcast(found) if few else found, doc_id, "left")
     return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(kept)).drop("__spans")
 
 
@@ -189,13 +204,34 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean}
-ORACLE = {
-    "p7_found": f"""with
+_GRAMS = f"""with
 iw as (select distinct item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from eval_items),
 ig as (select distinct item_id, array_to_string(w[k:k + {SPAN - 1}], ' ') as g
        from (select item_id, w, unnest(range(1, len(w) - {SPAN - 2})) as k from iw)),
-dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from documents),
-dg as (select doc_id, array_to_string(w[k:k + {SPAN - 1}], ' ') as g
-       from (select doc_id, w, unnest(range(1, len(w) - {SPAN - 2})) as k from dw))
-select distinct doc_id, item_id from dg join ig using (g)"""
+dw as (select doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from documents),
+dg as (select doc_id, k, array_to_string(w[k:k + {SPAN - 1}], ' ') as g
+       from (select doc_id, w, unnest(range(1, len(w) - {SPAN - 2})) as k from dw)),
+hit as (select distinct doc_id, item_id, k from dg join ig using (g))"""
+_SPANS = f"""{_GRAMS},
+runs as (select *, sum(step) over (partition by doc_id, item_id order by k) as run
+         from (select *, case when k - lag(k) over (partition by doc_id, item_id order by k) <= {SPAN} then 0 else 1 end as step from hit)),
+words as (select doc_id, item_id, min(k) as a, max(k) + {SPAN - 1} as b from runs group by doc_id, item_id, run),
+placed as (
+  select doc_id, item_id, b - a + 1 as n_words, w, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') as gap, a, b from words join dw using (doc_id)
+),
+spans as (
+  select doc_id, item_id, n_words, (list_sum([len(x) for x in gap[1:a]]) + coalesce(list_sum([len(x) for x in w[1:a - 1]]), 0))::bigint as start_char,
+    (list_sum([len(x) for x in gap[1:b]]) + list_sum([len(x) for x in w[1:b]]))::bigint as end_char from placed
+)"""
+ORACLE = {
+    "p7_found": f"{_GRAMS} select distinct doc_id, item_id from hit",
+    "p7_spans": f"{_SPANS} select doc_id, item_id, start_char, end_char, n_words from spans",
+    "p7_clean": f"""{_SPANS},
+far as (select *, max(end_char) over (partition by doc_id order by start_char, end_char rows between unbounded preceding and 1 preceding) as before from (select distinct doc_id, start_char, end_char from spans)),
+parts as (
+  select doc_id, start_char as pos, substr(text, coalesce(before, 0) + 1, greatest(start_char - coalesce(before, 0), 0)) as part from far join documents using (doc_id)
+  union all select doc_id, 1e12, substr(text, max(end_char) + 1) from spans join documents using (doc_id) group by doc_id, text
+),
+cut as (select doc_id, string_agg(part, '' order by pos) as text from parts group by all)
+select d.doc_id, coalesce(c.text, d.text) as text from documents d left join cut c using (doc_id)""",
 }

@@ -236,6 +236,12 @@ def _alike(x: str, y: str) -> bool:
     return (j := jaro_winkler(x, y)) >= SLIP and edits(x, y, most if j >= SURNAME else 1) <= (most if j >= SURNAME else 1)
 
 
+@lru_cache(50_000)
+def _named(typed: str) -> Name:
+    """A form lies in several blocks, so a worker that meets it again knows it already."""
+    return Name(typed)
+
+
 # Consonants that sound alike.
 _SOUND = {c: str(i) for i, group in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in group}
 
@@ -264,7 +270,7 @@ def _parsed(forms: DataFrame) -> DataFrame:
         for b in batches:
             out, at = [], []
             for k, v in enumerate(b.column(1).to_pylist()):
-                n = Name(v)
+                n = _named(v)
                 for c in codes(n):
                     out.append(n.kind + c)
                     at.append(k)
@@ -277,13 +283,13 @@ def _parsed(forms: DataFrame) -> DataFrame:
 _LINK = T.StructType([T.StructField(n, k()) for n, k in (("a", T.LongType), ("b", T.LongType), ("a_open", T.BooleanType), ("b_open", T.BooleanType))])
 
 
-def _compare(rows: DataFrame) -> DataFrame:
+def _compare(rows: DataFrame, many: int) -> DataFrame:
     """(a, b, a_open, b_open): accepted pairs of forms; a pair found in several blocks is repeated."""
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, part = t.column("id").to_numpy(), t.column("part").fill_null(-1).to_numpy()
         group = np.unique(t.column("g").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        names = [Name(v) for v in t.column("value").to_pylist()]
+        names = [_named(v) for v in t.column("value").to_pylist()]
         full = np.uint64(2**64 - 1)
 
         def mask(n: Name) -> np.uint64:
@@ -314,7 +320,7 @@ def _compare(rows: DataFrame) -> DataFrame:
                         x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(found, _LINK)], _LINK.names)
 
-    return over_groups(rows, "key", run, _LINK, 5_000)
+    return over_groups(rows, "key", run, _LINK, 5_000, many)
 
 
 def link_names(entries: DataFrame, entry_id: str, name: str, within: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -330,8 +336,11 @@ def link_names(entries: DataFrame, entry_id: str, name: str, within: str | None
     group = F.col(within) if within else F.lit(0)
     rows = entries.select(F.col(entry_id).alias("entry"), F.col(name).cast("string").alias("value"), group.alias("g")).where("entry is not null and g is not null")
     rows = rows.where(F.col("value").rlike(r"[\p{L}\p{N}]")).withColumn("id", F.xxhash64("g", "value")).distinct()
-    forms = rows.groupBy("id").agg(F.first("value").alias("value"), F.first("g").alias("g"))
-    links = _compare(in_blocks(_parsed(forms), "key", "id", block_rows)).select(
+    # parsing is the work, not the bytes, so adaptive execution must not join these partitions
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forms = rows.repartition(parts, "id").groupBy("id").agg(F.first("value").alias("value"), F.first("g").alias("g"))
+    blocks = cut(_parsed(forms))  # parsed once, read for the blocks' sizes and for the blocks
+    links = _compare(in_blocks(blocks, "key", "id", block_rows), blocks.count()).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, a_open, b_open)").alias("a_open"), F.expr("if(a < b, b_open, a_open)").alias("b_open")
     )
     links = cut(links.distinct())  # four stages read it

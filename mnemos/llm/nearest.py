@@ -335,12 +335,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return _near(spark, folder)
+    return _near(spark, folder).withColumn("distance", F.round("distance", 6))
 
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
-ORACLE = {
-    "p2_found": """with
+_EXACT = """with
 ok as (
   select distinct vec_id, graph_id, embedding::double[64] as e from vectors
   where len(embedding) = 64 and list_bool_and([isfinite(x) for x in embedding]) and list_bool_or([x <> 0 for x in embedding])
@@ -349,6 +348,9 @@ d as (
   select a.vec_id, b.vec_id as other, array_distance(a.e, b.e) as d
   from ok a join ok b on a.graph_id = b.graph_id and a.vec_id <> b.vec_id
 ),
-near as (select vec_id, other, d from d qualify row_number() over (partition by vec_id order by d, other) <= 10)
-select distinct least(vec_id, other) as vec_id_a, greatest(vec_id, other) as vec_id_b from near where d <= 0.5"""
+near as (select vec_id, other, d, row_number() over (partition by vec_id order by d, other)::int as place from d qualify place <= 10)
+"""
+ORACLE = {
+    "p2_found": _EXACT + "select distinct least(vec_id, other) as vec_id_a, greatest(vec_id, other) as vec_id_b from near where d <= 0.5",
+    "p2_neighbours": _EXACT + "select vec_id, other, round(d, 6) as distance, place from near",
 }

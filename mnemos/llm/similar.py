@@ -221,6 +221,7 @@ def class_links(classes: DataFrame, threshold: str = "0.7", group_rows: int = GR
     id_kind = classes.schema["id"].dataType
     longs = [T.StructField(x, T.LongType()) for x in names]
     rows = classes.select("id", "words").mapInArrow(keyed, T.StructType([longs[0], T.StructField("id", id_kind), *longs[2:]]))
+    rows = cut(rows)  # found once, read for the groups' sizes and for the groups
     todo = in_blocks(rows, "key", "id", group_rows)
 
     def join(tab: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def class_links(classes: DataFrame, threshold: str = "0.7", group_rows: int = GR
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], ["a", "b"])
 
     pair = T.StructType([T.StructField("a", id_kind), T.StructField("b", id_kind)])
-    found = over_groups(todo, "key", join, pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    found = over_groups(todo, "key", join, pair, many=rows.count()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     with_words = found.join(classes.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(classes.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,17 +296,28 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
-ORACLE = {
-    "p5_found": """with
+_BAGS = """with recursive
 h as (select distinct hit_id, value from hits where value is not null),
 w as (select hit_id, unnest(regexp_extract_all(lower(value), '[\\p{L}\\p{N}]+')) as w from h),
 c as (select hit_id, w, count(*) as n from w group by all),
-s as (select hit_id, sum(n) as size from c group by all),
+s as (select hit_id, sum(n) as size, string_agg(w || '=' || n, ' ' order by w) as bag from c group by all),
 common as (
   select a.hit_id as hit_id_a, b.hit_id as hit_id_b, sum(least(a.n, b.n)) as common
   from c a join c b on a.w = b.w and a.hit_id < b.hit_id group by all
+),
+pairs as (
+  select hit_id_a, hit_id_b, sa.bag as bag_a, sb.bag as bag_b from common
+  join s sa on sa.hit_id = hit_id_a join s sb on sb.hit_id = hit_id_b
+  where common * 10 >= 7 * (sa.size + sb.size - common)
 )
-select hit_id_a, hit_id_b from common
-join s sa on sa.hit_id = hit_id_a join s sb on sb.hit_id = hit_id_b
-where common * 10 >= 7 * (sa.size + sb.size - common)"""
+"""
+ORACLE = {
+    "p5_found": _BAGS + "select hit_id_a, hit_id_b from pairs",
+    "p5_groups": _BAGS + """,
+ends as (select hit_id_a as a, hit_id_b as b from pairs union all select hit_id_b, hit_id_a from pairs),
+reach as (select hit_id as id, hit_id as least_id from s union select e.b, r.least_id from reach r join ends e on e.a = r.id),
+groups as (select id, min(least_id) as g from reach group by all),
+links as (select bag_a as bag, count(distinct bag_b) as n from (select bag_a, bag_b from pairs union all select bag_b, bag_a from pairs) where bag_a <> bag_b group by all)
+select s.hit_id, min(s.hit_id) over (partition by s.bag) as class, coalesce(n, 0) as links, g as "group"
+from s left join links using (bag) join groups on id = s.hit_id""",
 }
