@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 TAGS = ("fact", "entity", "topic", "mentions", "isabout")
@@ -23,15 +23,22 @@ def edge_key(kind: str, fact: str, anchor: str, seed: int = 0) -> int:
 
 
 def keyed(tag: str, value: Column, seed: int = 0) -> Column:
-    """The same for a column; Spark's own xxhash64 has another seed."""
-
+    """The same for a column. Spark's hash is XXH64 too, but its function fixes another seed, so
+    the expression is made with ours; where the JVM can't be reached a pandas UDF does it."""
+    tagged = F.concat(F.lit(f"{tag}:"), value)
+    try:
+        jvm = SparkSession.active().sparkContext._jvm
+        utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
+        hashed = jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(jvm.PythonUtils.toSeq([utils.expression(tagged._jc)]), seed)
+        return F.when(tagged.isNotNull(), Column(utils.column(hashed)))
+    except Exception:  # noqa: BLE001 - a remote session has no JVM here
+        return _keyed_in_python(tag, value, seed)
+
+
+def _keyed_in_python(tag: str, value: Column, seed: int) -> Column:
     @F.pandas_udf("bigint")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield s.map(lambda v: None if v is None else key(tag, v, seed)).astype("Int64")
 
     return run(value)
-
-
-def keys_of(tag: str, values: Iterable[str], seed: int = 0) -> list[int]:
-    return [key(tag, v, seed) for v in values]

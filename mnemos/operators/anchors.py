@@ -30,10 +30,14 @@ def sequence(facts: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select(*ANCHOR, "fact_key", F.coalesce("p", "prev_last").alias("before"), F.coalesce("n", "next_first").alias("after"))
 
 
+def linked(seq: DataFrame) -> DataFrame:
+    """(graph_id, fact_key, neighbour) of a sequence, once for each anchor."""
+    return seq.select("graph_id", "fact_key", F.explode(F.array("before", "after")).alias("neighbour")).where("neighbour is not null")
+
+
 def neighbours(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, fact_key, neighbour): the facts next to a fact under any of its anchors, each once."""
-    seq = sequence(facts, edges)
-    return seq.select("graph_id", "fact_key", F.explode(F.array("before", "after")).alias("neighbour")).where("neighbour is not null").distinct()
+    return linked(sequence(facts, edges)).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:

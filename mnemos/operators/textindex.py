@@ -72,10 +72,14 @@ def matches(weighted: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def lent(found: DataFrame, near: DataFrame, gamma: float) -> DataFrame:
-    """``found`` with tf shared: a fact also counts ``gamma`` of what its neighbours hold. ``found`` and the result: (query_id, reading, graph_id, term, fact_key, tf)."""
+    """``found`` with tf shared: a fact also counts ``gamma`` of what its neighbours hold, each once
+    though ``near`` may name it under several anchors. ``found`` and the result: (query_id, reading, graph_id, term, fact_key, tf)."""
     shared = (
         found.join(near, FACT)
-        .select("query_id", "reading", "graph_id", "term", F.col("neighbour").alias("fact_key"), (F.col("tf") * gamma).alias("tf"))
+        .select("query_id", "reading", "graph_id", "term", "fact_key", F.col("neighbour"), (F.col("tf") * gamma).alias("tf"))
+        .distinct()
+        .drop("fact_key")
+        .withColumnRenamed("neighbour", "fact_key")
     )
     own = found.select("query_id", "reading", "graph_id", "term", "fact_key", F.col("tf").cast("double").alias("tf"))
     return own.unionByName(shared).groupBy("query_id", "reading", "graph_id", "term", "fact_key").agg(F.sum("tf").alias("tf"))
@@ -84,7 +88,7 @@ def lent(found: DataFrame, near: DataFrame, gamma: float) -> DataFrame:
 def lent_lengths(docs: DataFrame, near: DataFrame, lens: DataFrame, gamma: float, accepted=None) -> DataFrame:
     """(query_id, reading, graph_id, fact_key, len) with ``gamma`` of the neighbours' lengths added. ``accepted`` filters (query_id, reading, graph_id, fact_key) rows to those a reading keeps."""
     own = docs.join(lens, FACT).select("query_id", "reading", *FACT, F.col("len").cast("double").alias("len"))
-    about = docs.join(near, FACT).select("query_id", "reading", "graph_id", F.col("fact_key").alias("of"), F.col("neighbour").alias("fact_key"))
+    about = docs.join(near, FACT).select("query_id", "reading", "graph_id", F.col("fact_key").alias("of"), F.col("neighbour").alias("fact_key")).distinct()
     if accepted is not None:
         about = accepted(about)
     add = about.join(lens, FACT).select("query_id", "reading", "graph_id", F.col("of").alias("fact_key"), (F.col("len") * gamma).alias("len"))

@@ -1,10 +1,16 @@
-"""A memory kept as parquet snapshots.
+"""A memory kept as parquet files that only grow.
 
-Every graph has its own snapshots, ``root/graph=G/v=N/table``; a manifest names
-the current one of each. A write makes a new snapshot of the graphs it touches
-and then swaps the manifest, so readers see all of a write or nothing, and a
-failed write leaves nothing but files no manifest names. Writes of one process
-are serial.
+A write adds one folder, ``root/TABLE/d=N``, to each table with the rows it changes: new facts and their
+index entries, edges, vectors, and the places in the anchors' order around them. Its
+work follows the batch, not the graph. A numbered manifest, written under a name of
+its own and then renamed to the next free number, names the folders that make up
+each graph; readers take the highest, so they see all of a write or nothing, and a
+failed write leaves nothing but files no manifest names. Two writers that race for a
+number: the second fails and starts again from what the first wrote.
+
+Folders are merged as they add up: small ones among themselves, and with the oldest
+one of the graph (its base) once they hold half as many facts, so that a fact is
+rewritten about log(n) times in all.
 """
 
 from __future__ import annotations
@@ -12,147 +18,325 @@ from __future__ import annotations
 import json
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemos.functions.keys import keyed
 from mnemos.model import EDGES, FACTS, VECTORS, Config, Memory
+from mnemos.operators import anchors as A
 from mnemos.operators import ingest
-from mnemos.operators.anchors import neighbours
 from mnemos.operators.textindex import lengths, postings, tokens
+from mnemos.session import cut, scratch
 
+ANCHORED = "graph_id smallint, kind string, anchor string, fact_key bigint, before bigint"
 TABLES = {
     "facts": FACTS,
     "edges": EDGES,
     "vectors": VECTORS,
     "postings": "graph_id smallint, term string, fact_key bigint, tf int",
     "lengths": "graph_id smallint, fact_key bigint, len int",
-    "neighbours": "graph_id smallint, fact_key bigint, neighbour bigint",
+    "order": f"{ANCHORED}, after bigint",
+    "tails": f"{ANCHORED}, written_at timestamp",
 }
+FACT = ["graph_id", "fact_key"]
+#: Tables in which a later row replaces an earlier one of the same key; the others only gain rows.
+KEYS = {"facts": FACT, "vectors": FACT, "order": [*A.ANCHOR, "fact_key"], "tails": A.ANCHOR}
 REMEMBER = (
     "graph_id smallint, value string, topics array<string>, entities array<string>, said_at timestamp, written_at timestamp,"
     " occurred array<struct<start_at:timestamp,end_at:timestamp>>, vector array<double>"
 )
+#: Folders of a graph beside its base from which on they are merged.
+MOST_DELTAS = 8
 
 
 class DimensionError(ValueError):
     """A vector of another length than those its graph holds."""
 
 
+@dataclass
+class Graph:
+    """What a manifest says of a graph: its base, the folders since with their facts, and what reads ask for first."""
+
+    base: int
+    facts: int = 0
+    deltas: list[tuple[int, int]] = field(default_factory=list)  # (folder, facts)
+    docs: int = 0
+    terms: int = 0
+    vectors: int = 0
+    dim: int | None = None
+
+    @property
+    def folders(self) -> list[int]:
+        return [self.base, *(n for n, _ in self.deltas)]
+
+
+def _folder_of(number: int) -> int:
+    """Rises with the manifest, and differs between writers that race for it."""
+    return number << 24 | uuid.uuid4().int & 0xFFFFFF
+
+
 class MemoryStore:
     def __init__(self, spark: SparkSession, root: str, config: Config = Config()) -> None:
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
         self._lock = threading.RLock()
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._manifest_path = self._path(f"{self.root}/manifest.json")
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+        self._memories: dict[tuple, Memory] = {}
 
     def _path(self, text: str):
         return self._jvm.org.apache.hadoop.fs.Path(text)
 
-    def _fs(self):
-        return self._manifest_path.getFileSystem(self._conf)
+    # manifests
+
+    def _numbers(self) -> list[int]:
+        folder = self._path(f"{self.root}/manifests")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def manifest(self) -> dict[str, int]:
-        fs = self._fs()
-        if not fs.exists(self._manifest_path):
-            return {}
-        stream = fs.open(self._manifest_path)
+    def manifest(self) -> tuple[int, dict[int, Graph]]:
+        """The highest manifest's number, 0 if there is none, and its graphs."""
+        number = max(self._numbers(), default=0)
+        if not number:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/manifests/{number}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            found = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
+        return number, {int(g): Graph(**{**v, "deltas": [tuple(d) for d in v["deltas"]]}) for g, v in found.items()}
 
-    def _publish(self, versions: dict[str, int]) -> None:
-        fs, temp = self._fs(), self._path(f"{self.root}/manifest-{uuid.uuid4().hex}.tmp")
-        out = fs.create(temp, True)
-        out.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
+    def _publish(self, number: int, graphs: dict[int, Graph]) -> bool:
+        """Whether ``number`` was still free."""
+        folder, temp = self._path(f"{self.root}/manifests"), self._path(f"{self.root}/manifests/{uuid.uuid4().hex}.tmp")
+        self._fs.mkdirs(folder)
+        out = self._fs.create(temp, True)
+        out.write(bytearray(json.dumps({str(g): asdict(v) for g, v in graphs.items()}, sort_keys=True).encode()))
         out.close()
-        if fs.exists(self._manifest_path):
-            fs.delete(self._manifest_path, False)
-        fs.rename(temp, self._manifest_path)
-
-    def _read(self, name: str, graphs=None) -> DataFrame:
-        versions = self.manifest()
-        wanted = [g for g in versions if graphs is None or int(g) in graphs]
-        paths = [f"{self.root}/graph={g}/v={versions[g]}/{name}" for g in wanted]
-        if not paths:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*paths)
+        to = self._path(f"{self.root}/manifests/{number}.json")
+        done = not self._fs.exists(to) and self._fs.rename(temp, to)  # a rename doesn't replace
+        if not done:
+            self._fs.delete(temp, False)
+        return bool(done)
 
-    def memory(self, *graphs: int) -> Memory:
-        """The tables of some graphs (of all, if none is named), pruned to their snapshots."""
-        self._check(*graphs)
-        only = set(graphs) or None
-        return Memory(*(self._read(n, only) for n in ("facts", "edges", "postings", "lengths", "neighbours", "vectors")))
+    # reading
 
     def _check(self, *graphs: int) -> None:
         for g in graphs:
             if not 0 <= g < self.config.num_graphs:
                 raise ValueError(f"graph {g} out of range (0-{self.config.num_graphs - 1})")
 
+    def _read(self, name: str, graphs: dict[int, Graph]) -> DataFrame:
+        """The current rows of a table for some graphs. Replaced rows are found by the keys of the
+        folders after the base, which merging keeps few beside it."""
+        columns = [c.strip().split(" ")[0] for c in TABLES[name].split(", ")]
+        if not graphs:
+            return self.spark.createDataFrame([], TABLES[name])
+        paths = sorted({f"{self.root}/{name}/d={n}" for g in graphs.values() for n in g.folders})
+        rows = self.spark.read.option("basePath", f"{self.root}/{name}").schema(f"{TABLES[name]}, d bigint").parquet(*paths)
+        mine, base = F.lit(False), F.lit(False)
+        for g, v in graphs.items():
+            mine = mine | ((F.col("graph_id") == g) & F.col("d").isin(*v.folders))
+            base = base | ((F.col("graph_id") == g) & (F.col("d") == v.base))
+        rows = rows.where(mine)
+        if name not in KEYS or not any(v.deltas for v in graphs.values()):
+            return rows.select(*columns)
+        keys = KEYS[name]
+        new = ingest.latest(rows.where(~base), keys, F.col("d"))
+        return rows.where(base).join(new.select(*keys), keys, "left_anti").select(*columns).unionByName(new.select(*columns))
+
+    def memory(self, *graphs: int) -> Memory:
+        """The tables of some graphs (of all, if none is named) as they are now."""
+        self._check(*graphs)
+        number, all_graphs = self.manifest()
+        key = (number, *sorted(set(graphs)))
+        if key not in self._memories:
+            if any(k[0] != number for k in self._memories):
+                self._memories.clear()
+            mine = {g: v for g, v in all_graphs.items() if not graphs or g in graphs}
+            facts, edges, posts, lens, order, vectors = (self._read(n, mine) for n in ("facts", "edges", "postings", "lengths", "order", "vectors"))
+            stats = [(g, v.docs, v.terms / v.docs) for g, v in mine.items() if v.docs]
+            corpus = self.spark.createDataFrame(stats, "graph_id smallint, docs bigint, avgdl double")
+            self._memories[key] = Memory(facts, edges, posts, lens, A.linked(order), vectors, corpus)
+        return self._memories[key]
+
+    def fact(self, graph: int, key: int) -> DataFrame:
+        """Point lookup: the fact of a key, one row or none."""
+        return self.memory(graph).facts.where(F.col("fact_key") == key)
+
     def is_empty(self, graph: int) -> bool:
-        return str(graph) not in self.manifest()
+        return graph not in self.manifest()[1]
+
+    def dimension(self, graph: int) -> int | None:
+        """The length of a graph's vectors, None if it has none."""
+        found = self.manifest()[1].get(graph)
+        return found.dim if found else None
+
+    def stats(self) -> DataFrame:
+        return ingest.stats(self.memory(), self.config.num_graphs)
+
+    # writing
 
     def remember(self, rows: DataFrame) -> None:
-        """Files a batch of remember inputs (see ``REMEMBER``), the later written first where one
-        fact comes twice. Facts with equal values are one fact: its times are replaced, its
+        """Files a batch of remember inputs (see ``REMEMBER``). Facts with equal values are one
+        fact: its times are those of the latest written, whatever order they come in, its
         edges accumulate, its vector stays unless a new one is given."""
+        rows = rows.where("value is not null and trim(value) <> ''").withColumn("fact_key", keyed("fact", F.col("value"), self.config.hash_seed))
+        with self._lock, scratch(self.spark):
+            log = cut(rows.withColumn("remember_id", F.monotonically_increasing_id()))
+            seen = log.groupBy("graph_id").agg(F.collect_set(F.size("vector")).alias("dims")).collect()
+            touched = {r["graph_id"]: {n for n in r["dims"] if n >= 0} for r in seen}
+            if not touched:
+                return
+            self._check(*touched)
+            while not self._append(log, touched):
+                pass
+        for g in touched:
+            self._merge(g)
+
+    def _append(self, log: DataFrame, touched: dict[int, set[int]]) -> bool:
+        number, graphs = self.manifest()
+        old = {g: graphs[g] for g in touched if g in graphs}
+        for g, dims in touched.items():
+            if len(dims | ({old[g].dim} if g in old and old[g].dim else set())) > 1:
+                raise DimensionError(f"graph {g}: vectors of different dimensions")
+        facts = ingest.facts_of(log)
+        keys = F.broadcast(log.select(*FACT).distinct()) if old else None
+        edges, fresh = ingest.edges_of(log), facts
+        given = ingest.latest(log.where("vector is not null"), FACT, F.col("written_at"), F.col("remember_id")).select(*FACT, F.col("vector").alias("embedding"))
+        known = had = None
+        if old:
+            known = cut(self._read("facts", old).join(keys, FACT, "left_semi").select(*FACT, F.col("written_at").alias("before")))
+            later = F.broadcast(facts.join(F.broadcast(known), FACT).where("before > written_at").select(*FACT))
+            facts = facts.join(later, FACT, "left_anti")
+            had = self._read("edges", old).join(keys, FACT, "left_semi")
+            edges, fresh = edges.join(had, [*FACT, "kind", "anchor"], "left_anti"), facts.join(F.broadcast(known.select(*FACT)), FACT, "left_anti")
+        edges = cut(edges)
+        order, tails = self._order(facts, edges, known, had, old)
+        words = tokens(fresh, self.config.stemming)
+        lens = cut(lengths(words))
+        new = {"facts": facts, "edges": edges, "vectors": given, "postings": postings(words).sortWithinPartitions("graph_id", "term"), "lengths": lens, "order": order, "tails": tails}
+        folder = _folder_of(number + 1)
+        self._write(new, folder)
+        added = {r["graph_id"]: r for r in lens.groupBy("graph_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("len").alias("terms")).collect()}
+        of_batch = {r["graph_id"]: r["n"] for r in facts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for g, dims in touched.items():
+            v = graphs.setdefault(g, Graph(folder, of_batch.get(g, 0)))
+            if v.base != folder:
+                v.deltas.append((folder, of_batch.get(g, 0)))
+            v.docs += added[g]["docs"] if g in added else 0
+            v.terms += added[g]["terms"] if g in added else 0
+            v.dim = max(dims, default=v.dim)
+        return self._publish(number + 1, graphs)
+
+    def _order(self, facts: DataFrame, edges: DataFrame, known: DataFrame | None, had: DataFrame | None, old: dict[int, Graph]) -> tuple[DataFrame, DataFrame]:
+        """The places that change in the anchors' order, and the anchors' last facts.
+
+        Facts that are new and written after all others of their anchors go to the ends, which
+        touches one more row an anchor. Otherwise (a fact is remembered again, or an older one comes late)
+        the order of the anchors concerned is found anew."""
+        times = facts.select(*FACT, "written_at")
+
+        def last(seq: DataFrame, written: DataFrame) -> DataFrame:
+            return seq.where("after is null").join(written, FACT).select(*A.ANCHOR, "fact_key", "before", "written_at")
+
+        if not old:
+            seq = cut(A.sequence(facts, edges))
+            return seq, last(seq, times)
+        about = F.broadcast(edges.select(*A.ANCHOR).distinct())
+        ends = cut(self._read("tails", old).join(about, A.ANCHOR, "left_semi"))
+        first = times.agg(F.min("written_at").alias("t"))
+        late = ends.join(F.broadcast(first), F.col("written_at") >= F.col("t")).limit(1).count()
+        if not late and known.isEmpty():
+            seq = A.sequence(facts, edges)
+            tail = F.broadcast(ends.select(*A.ANCHOR, F.col("fact_key").alias("tail")))
+            seq = cut(seq.join(tail, A.ANCHOR, "left").withColumn("before", F.coalesce("before", "tail")).drop("tail"))
+            heads = seq.join(tail, (seq["before"] == tail["tail"]) & (seq["graph_id"] == tail["graph_id"]) & (seq["kind"] == tail["kind"]) & (seq["anchor"] == tail["anchor"]))
+            heads = heads.select(seq["graph_id"], seq["kind"], seq["anchor"], seq["fact_key"].alias("after"))
+            linked = ends.join(F.broadcast(heads), A.ANCHOR).select(*A.ANCHOR, "fact_key", "before", "after")
+            return seq.unionByName(linked), last(seq, times)
+        about = F.broadcast(cut(edges.unionByName(had.select(*edges.columns)).select(*A.ANCHOR).distinct()))
+        members = self._read("edges", old).join(about, A.ANCHOR, "left_semi").unionByName(edges)
+        others = self._read("facts", old).select(*FACT, "written_at").join(F.broadcast(times.select(*FACT)), FACT, "left_anti")
+        written = others.unionByName(times)
+        seq = cut(A.sequence(written, members))
+        return seq, last(seq, written)
+
+    def _write(self, tables: dict[str, DataFrame], number: int) -> None:
+        """All tables of a folder, at the same time: each is a small job."""
+
+        def one(item: tuple[str, DataFrame]) -> None:
+            name, df = item
+            kept = df.select(*(c.strip().split(" ")[0] for c in TABLES[name].split(", ")))
+            kept.write.mode("overwrite").parquet(f"{self.root}/{name}/d={number}")
+
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(one, tables.items()))
+
+    def _merge(self, graph: int) -> None:
+        """Merges the folders of a graph where they have become many or large."""
         with self._lock:
-            rows = rows.where("value is not null and trim(value) <> ''").withColumn("fact_key", keyed("fact", F.col("value"), self.config.hash_seed))
-            graphs = sorted(r["graph_id"] for r in rows.select("graph_id").distinct().limit(257).collect())
-            if not graphs:
+            _, graphs = self.manifest()
+            v = graphs[graph]
+            since = sum(n for _, n in v.deltas)
+            if since * 2 > v.facts and v.deltas:
+                self._rewrite(graph, whole=True)
+            elif len(v.deltas) > MOST_DELTAS:
+                self._rewrite(graph, whole=False)
+
+    def _rewrite(self, graph: int, whole: bool, gone: DataFrame | None = None) -> None:
+        """One folder instead of a graph's deltas, or of all its folders, without the facts ``gone``."""
+        while True:
+            number, graphs = self.manifest()
+            v = graphs[graph]
+            view = v if whole else Graph(v.deltas[0][0], deltas=v.deltas[1:])
+            tables = {n: self._read(n, {graph: view}) for n in TABLES}
+            with scratch(self.spark):
+                if gone is not None:
+                    left = ingest.delete_facts(Memory(tables["facts"], tables["edges"], tables["postings"], tables["lengths"], tables["facts"], tables["vectors"]), gone)
+                    order = cut(A.sequence(left.facts, left.edges))
+                    ends = order.where("after is null").join(left.facts.select(*FACT, "written_at"), FACT)
+                    tables = {"facts": left.facts, "edges": left.edges, "postings": left.postings, "lengths": left.lengths, "vectors": left.vectors, "order": order, "tails": ends}
+                tables["postings"] = tables["postings"].sortWithinPartitions("graph_id", "term")  # a search reads few terms
+                folder = _folder_of(number + 1)
+                self._write(tables, folder)
+            many = self._folder("facts", folder).count()
+            if whole:
+                v.base, v.facts, v.deltas = folder, many, []
+            else:
+                v.deltas = [(folder, many)]
+            if gone is not None:
+                sums = self._folder("lengths", folder).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
+                v.docs, v.terms = sums["n"], sums["t"]
+                v.dim = v.dim if not self._folder("vectors", folder).isEmpty() else None
+                if not v.docs:
+                    del graphs[graph]
+            if self._publish(number + 1, graphs):
                 return
-            self._check(*graphs)
-            keys = ["graph_id", "fact_key"]
-            log = rows.withColumn("remember_id", F.monotonically_increasing_id())
-            facts = ingest.upsert(self._read("facts", set(graphs)), ingest.facts_of(log), keys)
-            edges = ingest.insert_if_absent(self._read("edges", set(graphs)), ingest.edges_of(log), [*keys, "kind", "anchor"])
-            given = ingest.latest(log.where("vector is not null"), keys, F.col("written_at"), F.col("remember_id")).select(*keys, F.col("vector").alias("embedding"))
-            vectors = ingest.upsert(self._read("vectors", set(graphs)), given, keys)
-            odd = vectors.groupBy("graph_id").agg(F.count_distinct(F.size("embedding")).alias("n")).where("n > 1").limit(1).collect()
-            if odd:
-                raise DimensionError(f"graph {odd[0]['graph_id']}: vectors of different dimensions")
-            versions = self.manifest()
-            number = max(versions.values(), default=0) + 1
-            self._write({"facts": facts, "edges": edges, "vectors": vectors}, graphs, number)
-            now = {n: self._snapshot(n, graphs, number) for n in ("facts", "edges")}
-            words = tokens(now["facts"], self.config.stemming)
-            self._write({"postings": postings(words), "lengths": lengths(words), "neighbours": neighbours(now["facts"], now["edges"])}, graphs, number)
-            self._publish(versions | {str(g): number for g in graphs})
-
-    def _snapshot(self, name: str, graphs: list[int], number: int) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/graph={g}/v={number}/{name}" for g in graphs))
-
-    def _write(self, tables: dict[str, DataFrame], graphs: list[int], number: int) -> None:
-        for name, df in tables.items():
-            kept = df.select(*(p.strip().split(" ")[0] for p in TABLES[name].split(", ")))
-            if name == "postings":
-                kept = kept.sortWithinPartitions("graph_id", "term")  # a search reads few terms
-            if len(graphs) == 1:
-                kept.write.mode("overwrite").parquet(f"{self.root}/graph={graphs[0]}/v={number}/{name}")
-                continue
-            # one pass over the table, then each graph's part is moved to its place
-            stage = f"{self.root}/stage-{uuid.uuid4().hex}"
-            kept.withColumn("__g", F.col("graph_id")).write.partitionBy("__g").parquet(stage)
-            fs = self._fs()
-            for g in graphs:
-                source, target = self._path(f"{stage}/__g={g}"), self._path(f"{self.root}/graph={g}/v={number}/{name}")
-                fs.mkdirs(target.getParent())
-                if fs.exists(source):
-                    fs.rename(source, target)
-                else:
-                    self.spark.createDataFrame([], kept.schema).write.mode("overwrite").parquet(target.toString())
-            fs.delete(self._path(stage), True)
 
-    def vacuum(self) -> None:
-        """Deletes snapshots that are no longer current."""
-        fs, versions = self._fs(), self.manifest()
-        for g, v in versions.items():
-            for status in fs.listStatus(self._path(f"{self.root}/graph={g}")):
-                if status.getPath().getName() != f"v={v}":
-                    fs.delete(status.getPath(), True)
+    def _folder(self, name: str, number: int) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/d={number}")
 
-    def stats(self) -> DataFrame:
-        return ingest.stats(self.memory(), self.config.num_graphs)
+    def delete(self, graph: int, gone: DataFrame) -> None:
+        """Takes the facts ``gone`` (fact_key) out of a graph, with their edges, vectors and index
+        entries; no statement of the language reaches it. The graph is rewritten."""
+        self._check(graph)
+        with self._lock:
+            if not self.is_empty(graph):
+                self._rewrite(graph, True, gone.select(F.lit(graph).cast("smallint").alias("graph_id"), "fact_key"))
+
+    def vacuum(self) -> None:
+        """Deletes folders and manifests that are no longer current; readers that started before may miss them."""
+        with self._lock:
+            number, graphs = self.manifest()
+            for n in self._numbers():
+                if n != number:
+                    self._fs.delete(self._path(f"{self.root}/manifests/{n}.json"), False)
+            used = {f"d={n}" for g in graphs.values() for n in g.folders}
+            for name in TABLES:
+                for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+                    if status.getPath().getName() not in used:
+                        self._fs.delete(status.getPath(), True)
