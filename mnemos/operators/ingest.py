@@ -60,6 +60,14 @@ def stats(memory: Memory, num_graphs: int) -> DataFrame:
     return sums.where(F.col("graph_id") < num_graphs)
 
 
+def sizes(memory: Memory, num_graphs: int, relevance: str = "bm25") -> DataFrame:
+    """(graph_id, order, size, nodes, vectors, forest_entries, relevance): facts and anchors, edges,
+    all of them together; vectors are stored without garbage, so entries are vectors."""
+    rows = stats(memory, num_graphs)
+    order = F.col("facts") + F.col("anchors")
+    return rows.select("graph_id", order.alias("order"), F.col("edges").alias("size"), (order + F.col("edges")).alias("nodes"), "vectors", F.col("vectors").alias("forest_entries"), F.lit(relevance).alias("relevance"))
+
+
 def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.unionByName(rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"))
 

@@ -12,6 +12,7 @@ decides which facts are seeds.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -24,7 +25,7 @@ from mnemos.functions.text import query_terms
 from mnemos.model import Config, Memory, unsigned
 from mnemos.operators import anchors as A
 from mnemos.operators import scoring, textindex, vectors
-from mnemos.session import cut, drop_cut
+from mnemos.session import SMALL_ROWS, cut, drop_cut, gathered
 
 
 @dataclass(frozen=True)
@@ -77,10 +78,9 @@ class Found:
         drop_cut(self.hits.sparkSession, *self.extra.pop("cuts", ()))
 
 
+SOURCES = ("text", "vector", "graph", "anchor")
 #: Up to so many different terms are named in the scan's filter.
 MANY_TERMS = 1000
-#: Tables of up to so many rows go through the driver and are broadcast; larger ones stay distributed.
-SMALL_ROWS = 20_000
 #: Places from which on a list counts them as one.
 LAST_RANK = 65535
 
@@ -142,6 +142,14 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         second = kept.join(filed, ["query_id", "graph_id", "fact_key"], "left_semi").withColumn("reading", F.lit(1))
         return first.unionByName(second)
 
+    timings, clock = dict.fromkeys(SOURCES, 0), [time.perf_counter_ns()]
+
+    def timed_as(source: str) -> None:
+        """What passed since the last call counts for ``source``: its lists are read by then."""
+        now_ns = time.perf_counter_ns()
+        timings[source] += now_ns - clock[0]
+        clock[0] = now_ns
+
     parts, seed_parts, cuts = [], [], []
     none = spark.createDataFrame([], "query_id bigint, missed double")
     missed, weighted = none, None
@@ -152,23 +160,16 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         cuts.append(cut(df))
         return cuts[-1]
 
-    def gathered(table) -> DataFrame:
-        """A small table as the driver holds it, in one partition, so that what follows needs no shuffle."""
-        return spark.createDataFrame(table).coalesce(1)
-
     def small(df: DataFrame) -> DataFrame:
         """A table bounded by what was asked (terms, or the seeds of each question and their
         anchors): through the driver up to a size, so that what follows joins it by broadcast."""
-        table = df.limit(SMALL_ROWS + 1).toArrow()
-        return F.broadcast(gathered(table)) if table.num_rows <= SMALL_ROWS else kept_once(df)
+        found = gathered(df)
+        return kept_once(df) if found is None else F.broadcast(found)
 
     def candidates(df: DataFrame, guess: int) -> DataFrame:
         """Candidates, about ``guess`` of them: few go through the driver, others over the shared folder."""
-        if guess <= SMALL_ROWS:
-            table = df.limit(SMALL_ROWS + 1).toArrow()
-            if table.num_rows <= SMALL_ROWS:
-                return gathered(table)
-        return kept_once(df)
+        found = gathered(df) if guess <= SMALL_ROWS else None
+        return kept_once(df) if found is None else found
 
     def pooled(scored: DataFrame, source: str, guess: int) -> DataFrame:
         """The first reading, with places from 0 if they are asked for; the heads of every reading are seeds."""
@@ -221,6 +222,7 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
             best = _first(text.where(F.col("query_id").isin(*with_vector)).drop("place"), ["query_id"], [F.round("score", 9).desc(), unsigned("fact_key")], 1).where("held > 0")
             missed = small(best.select("query_id", ((F.col("total") - F.col("held")) / F.col("held")).alias("missed")))
 
+    timed_as("text")
     wanted = [(r.query_id, r.graph_id, list(map(float, r.vector))) for r in recalls if r.vector]
     if wanted and memory.vectors is not None:
         about = spark.createDataFrame(wanted, "query_id bigint, graph_id smallint, vector array<double>")
@@ -228,12 +230,14 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         near = pooled(near.withColumn("score", -F.col("distance")), "vector", sum(memory.sizes().get(g, (0,))[0] for _, g, _ in wanted)).withColumn("score", vectors.similarity(F.col("distance")))
         parts.append(_contribution(near, source="vector", list_rank=F.col("place"), cnt=1, named=False))
 
+    timed_as("vector")
     alone = [r.query_id for r in recalls if r.alone and r.anchored]
     if alone:
         held = A.named_anchors(named.where(F.col("query_id").isin(*alone)), memory.edges)
         members = held.join(memory.edges, A.ANCHOR)
         parts.append(_contribution(members, source="anchor", score=1.0, via_kind=F.col("kind"), via=F.col("anchor"), cnt=1, named=False, list_rank=0))
 
+    timed_as("anchor")
     empty = spark.createDataFrame([], CONTRIBUTION)
     seen = empty
     for p in parts:
@@ -255,11 +259,12 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         seen = seen.unionByName(
             _contribution(more, source="graph", score=F.col("mass"), list_rank=0, degree=F.least("degree", F.lit(4294967295)), cnt=F.least("seeds", F.lit(65535)))
         )
+    timed_as("graph")
     pool = window(scoring.folded(seen, F.broadcast(missed), F.broadcast(rates)))
     scored = scoring.scored(pool, config.scorer)
     pool = scored.join(memory.facts.select("graph_id", "fact_key", "value"), ["graph_id", "fact_key"])
     marks = seeds.select("query_id", "graph_id", "fact_key").distinct().withColumn("seed", F.lit(True))
-    extra = {"missed": missed, "asked": asked, "now": now, "cuts": cuts}
+    extra = {"missed": missed, "asked": asked, "now": now, "cuts": cuts, "timings": timings}
     terms = weighted if weighted is not None else spark.createDataFrame([], "query_id bigint, term string")
     keys = ["graph_id", "fact_key"]
     if whole:

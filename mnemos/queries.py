@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemos.functions import clocks
+from mnemos.functions import clocks, render
 from mnemos.operators import anchors as A
-from mnemos.operators import answers, ingest, scoring, textindex, vectors
+from mnemos.operators import answers, evaluation, ingest, scoring, textindex, vectors
 from mnemos.sources.tables import table
 
 NOW = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -220,8 +221,10 @@ lent_bm25 as (select query_id, graph_id, fact_key, gained * floor(matched * 1024
 
 @query(f"with {_ASKED}, {_SEQ.removeprefix(_FACTS + ',')}, {_LENT} select query_id, graph_id, fact_key, round(score, 6) as score from lent_bm25")
 def lending_scores(spark, d):
-    posts, lens = _text(spark, d)
-    near = A.neighbours(_facts(spark, d), _edges(spark, d))
+    from mnemos.recalls import memory
+
+    m = memory(spark, d)  # the derived tables are read as a store keeps them
+    posts, lens, near = m.postings, m.lengths, m.neighbours
     w = textindex.weighted_terms(_asked(spark, d), posts, lens)
     counted = textindex.lent(textindex.matches(w, posts).withColumn("reading", F.lit(0)), near, GAMMA)
     docs = counted.select("query_id", "reading", "graph_id", "fact_key").distinct()
@@ -241,7 +244,7 @@ def exact_nearest(spark, d):
     e = F.col("embedding")
     rows = table(spark, d, "vectors").where((F.size(e) == 64) & F.forall(e, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", "graph_id", "embedding").distinct()
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "graph_id", F.col("embedding").alias("vector"))
-    found = vectors.nearest_exact(asked, rows.withColumnRenamed("vec_id", "fact_key")).where("query_id <> fact_key")
+    found = vectors.nearest_exact(asked, rows.withColumnRenamed("vec_id", "fact_key"), asked.count()).where("query_id <> fact_key")
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "fact_key")
     near = found.withColumn("n", F.row_number().over(w)).where("n <= 10")
     return near.select("query_id", F.col("fact_key").alias("other"), F.round("distance", 6).alias("distance"), F.round(vectors.similarity(F.col("distance")), 6).alias("similarity"))
@@ -447,12 +450,147 @@ def insert_if_absent(spark, d):
     return ingest.insert_if_absent(_facts(spark, d).select(*keys), table(spark, d, "hits").select(*keys), keys)
 
 
-@query(f"""with {_FACTS}, {_EDGES}, gone as (select distinct graph_id, fact_key from hits)
-select 'fact' as kind, graph_id, count(*) as n from facts anti join gone using (graph_id, fact_key) group by all
-union all select 'edge', graph_id, count(*) from edges anti join gone using (graph_id, fact_key) group by all""")
+def _vectors(spark, d):
+    """The latest good vector of each fact."""
+    e = F.col("embedding")
+    good = table(spark, d, "vectors").where((F.size(e) == 64) & F.forall(e, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("fact_key").isNotNull())
+    return good.groupBy("graph_id", "fact_key").agg(F.max_by("embedding", "vec_id").alias("embedding"))
+
+
+@query(f"""with {_SEQ}, {_TOKENS[_TOKENS.index("words as"):]}, gone as (select distinct graph_id, fact_key from hits),
+left_facts as (select * from facts anti join gone using (graph_id, fact_key)), left_edges as (select * from edges anti join gone using (graph_id, fact_key)),
+seq2 as (
+  select graph_id, fact_key, lag(fact_key) over w as before, lead(fact_key) over w as after from left_edges join left_facts using (graph_id, fact_key)
+  window w as (partition by graph_id, kind, anchor order by written_at, fact_key::hugeint + case when fact_key < 0 then 18446744073709551616::hugeint else 0 end)
+),
+vecs as (select distinct graph_id, fact_key from vectors where {_OKVEC} and fact_key is not null)
+select 'fact' as kind, graph_id, count(*) as n from left_facts group by all
+union all select 'edge', graph_id, count(*) from left_edges group by all
+union all select 'posting', graph_id, count(*) from posts anti join gone using (graph_id, fact_key) group by all
+union all select 'length', graph_id, count(*) from lens anti join gone using (graph_id, fact_key) group by all
+union all select 'vector', graph_id, count(*) from vecs anti join gone using (graph_id, fact_key) group by all
+union all select 'neighbour', graph_id, count(*) from (select distinct graph_id, fact_key, x from (select graph_id, fact_key, before as x from seq2 union all select graph_id, fact_key, after from seq2) where x is not null) group by all""")
 def cascade_delete(spark, d):
-    f, e = _facts(spark, d), _edges(spark, d)
+    """The memory without the facts that were hit: facts, edges, index entries, vectors, and the order around them."""
+    gone = table(spark, d, "hits").select("graph_id", "fact_key").distinct()
+    left = ingest.delete_facts(ingest.memory_of(_log(spark, d), _vectors(spark, d), stemming=False), gone)
+    parts = (("fact", left.facts), ("edge", left.edges), ("posting", left.postings), ("length", left.lengths), ("vector", left.vectors), ("neighbour", left.neighbours))
+    counts = [t.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "graph_id", "n") for k, t in parts]
+    return reduce(DataFrame.unionAll, counts)
+
+
+@query(f"""with {_FACTS}, h as (select graph_id, fact_key, value, written_at from hits where fact_key is not null and value is not null
+  qualify row_number() over (partition by graph_id, fact_key order by logged_at desc nulls last, hit_id desc) = 1)
+select graph_id, fact_key, value, epoch_us(written_at) as written_us from h
+union all select graph_id, fact_key, value, epoch_us(written_at) from facts anti join h using (graph_id, fact_key)""")
+def upsert_facts(spark, d):
+    """Facts replaced by what the last hit says of them."""
     keys = ["graph_id", "fact_key"]
-    gone = table(spark, d, "hits").select(*keys).distinct()
-    left = [(k, t.join(gone, keys, "left_anti").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))) for k, t in (("fact", f), ("edge", e))]
-    return left[0][1].select(F.lit("fact").alias("kind"), "graph_id", "n").unionAll(left[1][1].select(F.lit("edge").alias("kind"), "graph_id", "n"))
+    rows = table(spark, d, "hits", *keys, "value", "written_at", "logged_at", "hit_id").where("fact_key is not null and value is not null")
+    new = ingest.latest(rows, keys, F.col("logged_at"), F.col("hit_id")).select(*keys, "value", "written_at")
+    return ingest.upsert(_facts(spark, d).select(*new.columns), new, keys).select(*keys, "value", F.unix_micros("written_at").alias("written_us"))
+
+
+@query(f"""with {_FACTS}, {_EDGES}, v as (select distinct graph_id, fact_key from vectors where {_OKVEC} and fact_key is not null)
+select g::smallint as graph_id, f + a as "order", e as size, f + a + e as nodes, n as vectors, n as forest_entries, 'bm25' as relevance from (
+  select g, (select count(*) from facts where graph_id = g) as f, (select count(*) from degrees where graph_id = g) as a,
+    (select count(*) from edges where graph_id = g) as e, (select count(*) from v where graph_id = g) as n from range(32) t(g))""")
+def graph_sizes(spark, d):
+    f, e = _facts(spark, d), _edges(spark, d)
+    return ingest.sizes(ingest.Memory(f, e, f, f, f, _vectors(spark, d)), 32)
+
+
+@query(f"select vec_id from (select distinct vec_id, embedding from vectors where {_OKVEC}) where list_bool_and([x >= -0.75 and x <= 0.75 for x in embedding])")
+def vectors_in_box(spark, d):
+    e = F.col("embedding")
+    rows = table(spark, d, "vectors").where((F.size(e) == 64) & F.forall(e, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", "embedding").distinct()
+    side = lambda x: F.array_repeat(F.lit(x), 64)
+    return rows.where(vectors.in_box(e, side(-0.75), side(0.75))).select("vec_id")
+
+
+_WIDTH = "case when date_trunc('year', s) = s and date_trunc('year', e) = e then 4 when date_trunc('month', s) = s and date_trunc('month', e) = e then 7 else 10 end"
+_FIRST, _LAST = f"left(strftime(s, '%Y-%m-%d'), {_WIDTH})", f"left(strftime(e - interval 1 microsecond, '%Y-%m-%d'), {_WIDTH})"
+_SPAN = f"""case when e is null then strftime(s, '%Y-%m-%d') || '..' when e <= s then strftime(s, '%Y-%m-%d')
+  when {_FIRST} = {_LAST} then {_FIRST} else {_FIRST} || '..' || {_LAST} end"""
+
+
+@query(f"""with i as (select distinct unnest(occurred) as i from hits), t as (
+  select i.start_at at time zone 'UTC' as s, i.end_at at time zone 'UTC' as e from i where i.start_at is not null
+  union all select make_timestamp(y, 1, 1, 0, 0, 0), make_timestamp(y + k, 1 + m, 1, 0, 0, 0) from range(2019, 2024) a(y), range(3) b(k), range(2) c(m))
+select distinct epoch_us(s) as start_us, epoch_us(e) as end_us, {_SPAN} as span from t""")
+def spans_rendered(spark, d):
+    """Times in the widest unit that loses nothing, those of the hits and whole years and months."""
+    spans = table(spark, d, "hits", "occurred").select(F.explode("occurred").alias("i")).select("i.start_at", "i.end_at").where("start_at is not null")
+    whole = [(datetime(y, 1, 1, tzinfo=timezone.utc), datetime(y + k, 1 + m, 1, tzinfo=timezone.utc)) for y in range(2019, 2024) for k in range(3) for m in range(2)]
+    rows = spans.unionAll(spark.createDataFrame(whole, "start_at timestamp, end_at timestamp")).distinct()
+    return rows.select(F.unix_micros("start_at").alias("start_us"), F.unix_micros("end_at").alias("end_us"), render.span(F.col("start_at"), F.col("end_at")).alias("span"))
+
+
+@query(f"""with h as (select distinct hit_id, value, score, (coalesce(said_at, written_at) at time zone 'UTC') as said, occurred from hits where value is not null and score is not null),
+o as (select hit_id, string_agg({_SPAN}, ' and ' order by n) as happened from (
+  select hit_id, (i.start_at at time zone 'UTC') as s, (i.end_at at time zone 'UTC') as e, n from (select hit_id, unnest(occurred) as i, unnest(range(len(occurred))) as n from h)) where s is not null group by all)
+select h.hit_id, '- [' || case when o.happened is not null and o.happened <> strftime(said, '%Y-%m-%d') then 'said ' || strftime(said, '%Y-%m-%d') || ', happened ' || o.happened else strftime(said, '%Y-%m-%d') end
+  || '] ' || value || ' (relevance ' || printf('%.3f', floor(score * 100) / 100) || ')' as line from h left join o using (hit_id)""")
+def hit_lines(spark, d):
+    """Hits as lines of text."""
+    rows = table(spark, d, "hits", "hit_id", "value", "score", "written_at", "said_at", "occurred").where("value is not null and score is not null").distinct()
+    return rows.withColumn("score", F.floor(F.col("score") * 100) / 100).select("hit_id", render.hit_line().alias("line"))
+
+
+@query("""select distinct hit_id, json_merge_patch('{}', json_object('value', value, 'said', epoch_us(said_at), 'written', epoch_us(written_at), 'seed', seed))::varchar as hit from hits""")
+def hits_as_json(spark, d):
+    """Hits in the form that goes over the wire, without what they lack."""
+    parts = F.struct("value", F.unix_micros("said_at").alias("said"), F.unix_micros("written_at").alias("written"), "seed")
+    return table(spark, d, "hits").select("hit_id", F.to_json(parts).alias("hit")).distinct()
+
+
+@query("""select doc_id, md5(replace(author || ': ' || coalesce(text, '') || case when trim(coalesce(source, '')) <> '' then ' [shared image: ' || source || ']' else '' end, chr(39), chr(8217))) as value,
+  'conv-' || lower(repo) as conversation, 'session-' || files_changed as session, lower(trim(regexp_replace(author, '[^A-Za-z0-9]+', '-', 'g'), '-')) as speaker, epoch_us(committed_at) as said_us
+from documents where author is not null and repo is not null""")
+def turns_remembered(spark, d):
+    """Documents read as the turns of conversations, filed as facts."""
+    turns = table(spark, d, "documents").select(
+        F.col("repo").alias("conversation"), F.col("files_changed").alias("session"), F.col("doc_id").alias("turn"), F.col("author").alias("speaker"), "text", F.col("source").alias("caption"), F.col("committed_at").alias("session_at")
+    )
+    rows = evaluation.turns_to_remember(turns)
+    return rows.select(F.col("turn").alias("doc_id"), F.md5("value").alias("value"), F.col("topics")[0].alias("conversation"), F.col("topics")[1].alias("session"), F.col("entities")[0].alias("speaker"), F.unix_micros("said_at").alias("said_us"))
+
+
+@query("""select item_id as query_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ') as words, 'conv-' || (item_id % 7) as topic, 10::int as top
+from (select distinct item_id, text from eval_items) where item_id % 5 <> 0""")
+def questions_asked(spark, d):
+    """Test items read as questions about conversations; those whose evidence names no turn are left out."""
+    item = F.col("item_id")
+    some = F.when(item % 5 == 0, F.array(F.lit("D:11:26"), F.lit("none"))).otherwise(F.array(F.concat(F.lit("D1:"), item.cast("string"), F.lit("; D9:17"))))
+    asked = table(spark, d, "eval_items").select(item.alias("question_id"), (item % 7).cast("string").alias("conversation"), F.col("text").alias("question"), some.alias("evidence")).distinct()
+    rows = [(r.query_id, " ".join(r.keywords), r.topics[0], r.top) for r in evaluation.questions_to_recalls(asked)]
+    return spark.createDataFrame(rows, "query_id bigint, words string, topic string, top int")
+
+
+@query("select distinct question_id, unnest(regexp_extract_all('D8:' || question_id || '; D9:17 D:11:26', 'D[0-9]+:[0-9]+')) as turn from (select item_id as question_id from eval_items)")
+def evidence_turns(spark, d):
+    """Turn ids in evidence strings, several to a string or malformed."""
+    rows = table(spark, d, "eval_items").select(F.col("item_id").alias("question_id"), F.array(F.concat(F.lit("D8:"), F.col("item_id").cast("string"), F.lit("; D9:17 D:11:26"))).alias("evidence"))
+    return evaluation.evidence(rows)
+
+
+def _averages_sql(most: int) -> str:
+    return f"(with {_METRICS.replace('place <= 10', f'place <= {most}')} select c as category, avg(hit / want) as recall, avg(2 * hit / (got + want)) as f1 from (select *, (query_id % 5)::int as c from m where want > 0) group by rollup (c))"
+
+
+@query(f"""with l as (
+  select a.category, unnest(['recall', 'f1']) as metric, unnest([a.recall, a.f1]) as base, unnest([b.recall, b.f1]) as head
+  from {_averages_sql(10)} a join {_averages_sql(3)} b on a.category is not distinct from b.category)
+select category, metric, round(base, 6) as base, round(head, 6) as head from l where round(base - head, 12) > 0.001""")
+def metric_gate(spark, d):
+    """What the gate stops when only three hits are read instead of ten."""
+    rows = table(spark, d, "hits", "query_id", "fact_key", "score", "seed")
+    best = rows.groupBy("query_id", "fact_key").agg(F.max("score").alias("s"))
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "fact_key")))
+
+    def average(k: int) -> DataFrame:
+        per = answers.retrieval_metrics(placed, rows.where("seed"), "query_id", "fact_key", "place", k).withColumn("category", (F.col("query_id") % 5).cast("int"))
+        return answers.macro_average(per, "category", "recall", "f1")
+
+    found = evaluation.dropped(average(10), average(3), ["category"], ["recall", "f1"])
+    return found.select("category", "metric", F.round("base", 6).alias("base"), F.round("head", 6).alias("head"))

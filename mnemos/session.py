@@ -83,6 +83,22 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which ``gathered`` takes a table through the driver.
+SMALL_ROWS = 20_000
+
+
+def gathered(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame | None:
+    """``df`` as the driver holds it, in one partition, so that what follows needs no shuffle; None if it has more rows than ``most``."""
+    table = df.limit(most + 1).toArrow()
+    return df.sparkSession.createDataFrame(table, df.schema).coalesce(1) if table.num_rows <= most else None
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table several stages read: through the driver if it is small, else ``cut``."""
+    small = gathered(df)
+    return cut(df) if small is None else small
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for text in paths:

@@ -29,7 +29,7 @@ from mnemos.model import EDGES, FACTS, VECTORS, Config, Memory
 from mnemos.operators import anchors as A
 from mnemos.operators import ingest
 from mnemos.operators.textindex import lengths, postings, tokens
-from mnemos.session import cut, scratch
+from mnemos.session import cut, gathered, kept, scratch
 
 ANCHORED = "graph_id smallint, kind string, anchor string, fact_key bigint, before bigint"
 TABLES = {
@@ -48,6 +48,8 @@ REMEMBER = (
     "graph_id smallint, value string, topics array<string>, entities array<string>, said_at timestamp, written_at timestamp,"
     " occurred array<struct<start_at:timestamp,end_at:timestamp>>, vector array<double>"
 )
+#: Facts beside the base up to which their rows are read ahead, once per manifest.
+SMALL_FACTS = 2_000
 #: Folders of a graph beside its base from which on they are merged.
 MOST_DELTAS = 8
 
@@ -146,6 +148,9 @@ class MemoryStore:
             return rows.select(*columns)
         keys = KEYS[name]
         new = ingest.latest(rows.where(~base), keys, F.col("d"))
+        if sum(n for v in graphs.values() for _, n in v.deltas) <= SMALL_FACTS:
+            few = gathered(new)
+            new = new if few is None else few
         return rows.where(base).join(new.select(*keys), keys, "left_anti").select(*columns).unionByName(new.select(*columns))
 
     def memory(self, *graphs: int) -> Memory:
@@ -186,7 +191,7 @@ class MemoryStore:
         edges accumulate, its vector stays unless a new one is given."""
         rows = rows.where("value is not null and trim(value) <> ''").withColumn("fact_key", keyed("fact", F.col("value"), self.config.hash_seed))
         with self._lock, scratch(self.spark):
-            log = cut(rows.withColumn("remember_id", F.monotonically_increasing_id()))
+            log = kept(rows.withColumn("remember_id", F.monotonically_increasing_id()))
             seen = log.groupBy("graph_id").agg(F.collect_set(F.size("vector")).alias("dims")).collect()
             touched = {r["graph_id"]: {n for n in r["dims"] if n >= 0} for r in seen}
             if not touched:
@@ -209,15 +214,15 @@ class MemoryStore:
         given = ingest.latest(log.where("vector is not null"), FACT, F.col("written_at"), F.col("remember_id")).select(*FACT, F.col("vector").alias("embedding"))
         known = had = None
         if old:
-            known = cut(self._read("facts", old).join(keys, FACT, "left_semi").select(*FACT, F.col("written_at").alias("before")))
+            known = kept(self._read("facts", old).join(keys, FACT, "left_semi").select(*FACT, F.col("written_at").alias("before")))
             later = F.broadcast(facts.join(F.broadcast(known), FACT).where("before > written_at").select(*FACT))
             facts = facts.join(later, FACT, "left_anti")
             had = self._read("edges", old).join(keys, FACT, "left_semi")
             edges, fresh = edges.join(had, [*FACT, "kind", "anchor"], "left_anti"), facts.join(F.broadcast(known.select(*FACT)), FACT, "left_anti")
-        edges = cut(edges)
+        edges = kept(edges)
         order, tails = self._order(facts, edges, known, had, old)
         words = tokens(fresh, self.config.stemming)
-        lens = cut(lengths(words))
+        lens = kept(lengths(words))
         new = {"facts": facts, "edges": edges, "vectors": given, "postings": postings(words).sortWithinPartitions("graph_id", "term"), "lengths": lens, "order": order, "tails": tails}
         folder = _folder_of(number + 1)
         self._write(new, folder)
@@ -244,25 +249,25 @@ class MemoryStore:
             return seq.where("after is null").join(written, FACT).select(*A.ANCHOR, "fact_key", "before", "written_at")
 
         if not old:
-            seq = cut(A.sequence(facts, edges))
+            seq = kept(A.sequence(facts, edges))
             return seq, last(seq, times)
         about = F.broadcast(edges.select(*A.ANCHOR).distinct())
-        ends = cut(self._read("tails", old).join(about, A.ANCHOR, "left_semi"))
+        ends = kept(self._read("tails", old).join(about, A.ANCHOR, "left_semi"))
         first = times.agg(F.min("written_at").alias("t"))
         late = ends.join(F.broadcast(first), F.col("written_at") >= F.col("t")).limit(1).count()
         if not late and known.isEmpty():
             seq = A.sequence(facts, edges)
             tail = F.broadcast(ends.select(*A.ANCHOR, F.col("fact_key").alias("tail")))
-            seq = cut(seq.join(tail, A.ANCHOR, "left").withColumn("before", F.coalesce("before", "tail")).drop("tail"))
+            seq = kept(seq.join(tail, A.ANCHOR, "left").withColumn("before", F.coalesce("before", "tail")).drop("tail"))
             heads = seq.join(tail, (seq["before"] == tail["tail"]) & (seq["graph_id"] == tail["graph_id"]) & (seq["kind"] == tail["kind"]) & (seq["anchor"] == tail["anchor"]))
             heads = heads.select(seq["graph_id"], seq["kind"], seq["anchor"], seq["fact_key"].alias("after"))
             linked = ends.join(F.broadcast(heads), A.ANCHOR).select(*A.ANCHOR, "fact_key", "before", "after")
             return seq.unionByName(linked), last(seq, times)
-        about = F.broadcast(cut(edges.unionByName(had.select(*edges.columns)).select(*A.ANCHOR).distinct()))
+        about = F.broadcast(kept(edges.unionByName(had.select(*edges.columns)).select(*A.ANCHOR).distinct()))
         members = self._read("edges", old).join(about, A.ANCHOR, "left_semi").unionByName(edges)
         others = self._read("facts", old).select(*FACT, "written_at").join(F.broadcast(times.select(*FACT)), FACT, "left_anti")
         written = others.unionByName(times)
-        seq = cut(A.sequence(written, members))
+        seq = kept(A.sequence(written, members))
         return seq, last(seq, written)
 
     def _write(self, tables: dict[str, DataFrame], number: int) -> None:
