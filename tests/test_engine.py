@@ -82,6 +82,87 @@ def test_dimension_error_leaves_the_graph(engine):
     assert engine.store.manifest() == before
 
 
+def test_explain_lists_what_was_asked(engine):
+    a = engine.execute("explain recall@1 harbour unheardof harbour entity:anna since:(when regatta)")
+    e = a.explain
+    assert e["terms"] == ["harbour", "unheardof"] and set(e["seeds"]) == set(e["timings"]) == {"text", "vector", "graph", "anchor"}
+    assert e["admission"] == {1: 2 * e["background"], 2: e["background"]} and e["seeds"]["graph"] == 0
+    inner = e["when"]["since"]
+    assert inner.span == Interval(datetime(2023, 5, 7, tzinfo=timezone.utc), datetime(2023, 5, 8, tzinfo=timezone.utc))
+    assert values(inner) == ["the regatta was won by the harbour team"] and inner.explain["terms"] == ["regatta"]
+    assert e["contributions"].where("source = 'graph'").count() > 0
+    assert "admission" not in engine.execute("explain recall@1 harbour").explain
+    alone = engine.execute("explain recall@1 entity:anna").explain
+    assert alone["seeds"] == {"text": 0, "vector": 0, "graph": 0, "anchor": 2} and alone["background"] == 0
+    a.close()
+
+
+def test_when_carries_its_hits(spark, tmp_path):
+    e = MemoryEngine(spark, str(tmp_path), Config(half_life_s=-1, window_gamma=-1), lambda: T0)
+    rows = [(0, "the regatta began", ["sea"], [], None, T0, [(datetime(2023, 5, 7, tzinfo=timezone.utc), datetime(2023, 5, 8, tzinfo=timezone.utc))], None)]
+    e.store.remember(spark.createDataFrame(rows, REMEMBER))
+    with e.when("regatta") as a:
+        assert values(a) == ["the regatta began"] and a.text().splitlines()[0] == "when: 2023-05-07"
+        assert a.text().splitlines()[1].startswith("- [said 2023-06-01, happened 2023-05-07] the regatta began (relevance ")
+    assert e.when("zeppelin").warnings and e.recall("zeppelin").text() == "Nothing that is stored matches."
+    assert e.describe("regatta").text().splitlines() == ["describe recall@0 regatta: 1 fact under 1 anchor, happened 2023-05-07", "topics:", "- [2023-05-07] sea: 1 fact", "entities: none"]
+    assert "empty so far" in e.recall("x", graph=5).text() and e.fact("the regatta began")["value"] and e.fact("other") is None
+
+
+def test_vectors_embedding_and_context(spark, tmp_path):
+    told = []
+
+    def embed(text):
+        told.append(text)
+        return [1.0, 0.0] if "north" in text else [0.0, 1.0]
+
+    def extract(value, context):
+        told.append(context)
+        return [("topic", "Boats")]
+
+    e = MemoryEngine(spark, str(tmp_path), Config(half_life_s=-1, window_gamma=-1), lambda: T0, embed, extract)
+    e.remember("north mast")
+    e.remember("south keel", topics=["b", "c"])
+    assert told[1] == {"recent": [], "anchors": []} and e.context() == {"recent": ["north mast", "south keel"], "anchors": [("topic", "b"), ("topic", "boats"), ("topic", "c")]} or e.context()["anchors"][0][0] == "topic"
+    assert values(e.recall("north wind"))[0] == "north mast" and told[-1] == "north wind"
+    e.describe("keel")
+    assert told[-1] == "north wind"  # a describe takes no vector
+    with pytest.raises(QueryError, match="3 dimensions"):
+        e.recall(vector=[1.0, 2.0, 3.0])
+    with pytest.raises(DimensionError):
+        e.remember("west", vector=[1.0])
+
+
+def test_builders_read_back():
+    from datetime import date
+
+    from mnemos.plans.builders import BuildError, When, build_describe, build_recall, build_remember
+    from mnemos.plans.language import parse, show
+
+    for text in (
+        build_recall(["harbour", "new york"], query="who's there?", topics=["o'brien", "top"], since=When("regatta", clock="said", top=2), until=date(2023, 5, 7), explain=True, graph=2, with_vector=True, with_since_vector=True),
+        build_remember("it's tea", topics=["machine-learning"], said=T0, occurred=[date(2023, 5, 7), Interval(T0, None), Interval(T0, T0 + timedelta(days=1)), "2023-05"], graph=1), build_describe(), build_describe(["x"], top=3, depth=1),
+    ):
+        assert parse(show(parse(text))) == parse(text)
+    assert parse(build_recall(query="a: b's (c)")).body.terms[0].text == "a: b's (c)"
+    with pytest.warns(UserWarning):
+        assert parse(build_recall(["since"])).body.terms[0].quoted
+    for bad in (lambda: build_recall(), lambda: build_recall(topics="billing"), lambda: build_recall([" "]), lambda: build_recall(["x"], graph=256), lambda: build_remember(""), lambda: build_recall(["x"], since=3),
+                lambda: build_recall(["x"], since=When()), lambda: build_recall(["x"], until=T0, with_until_vector=True), lambda: build_remember("x", occurred=T0), lambda: build_recall(["x"], top=0)):
+        with pytest.raises(BuildError):
+            bad()
+
+
+def test_keys_in_the_jvm_and_in_python(spark):
+    from pyspark.sql import functions as F
+
+    from mnemos.functions.keys import _keyed_in_python, keyed
+
+    df = spark.createDataFrame([("",), ("ünï" * 50,), (None,), ("a",)], "v string")
+    rows = df.select("v", keyed("fact", F.col("v"), 7).alias("j"), _keyed_in_python("fact", F.col("v"), 7).alias("p")).collect()
+    assert all(r["j"] == r["p"] == (None if r["v"] is None else key("fact", r["v"], 7)) for r in rows)
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(0, f"fact {i}", ["t"], [], None, T0, None, None) for i in range(5)], REMEMBER).repartition(2).write.parquet(str(tmp_path / "in"))
     store = MemoryStore(spark, str(tmp_path / "m"), Config(stemming=False))
