@@ -80,7 +80,7 @@ def _level(planned: DataFrame, total: float | None) -> float:
     takes what they leave to the others, until no further source is clamped."""
     able = planned.where("w > 0 and most > 0").select("w", "most", (F.col("most") / F.col("w")).alias("limit"))
     if total is None:
-        return able.agg(F.min("limit")).first()[0] or 0.0  # nothing is clamped
+        total = able.agg(F.min("limit")).first()[0] or 0.0
     level = 0.0
     while True:
         full = F.col("limit") < level

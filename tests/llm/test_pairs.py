@@ -172,3 +172,62 @@ def test_jaro_winkler():
     for a, b, want in (("martha", "marhta", 0.9611), ("dixon", "dicksonx", 0.8133), ("", "", 1.0), ("a", "", 0.0)):
         assert names.jaro_winkler(a, b) == pytest.approx(want, abs=1e-4)
     assert names.edits("abcd", "abdc", 2) == 1 and names.edits("abcd", "xyzw", 2) == 3
+
+
+def test_names_in_no_list_in_any_order(spark):
+    rows = [
+        (1, "Haruki Tanaka"), (2, "Tanaka, Haruki"), (3, "Wei Zhang"), (4, "Zhang Wei"), (5, "Anna Maria Lopez"), (6, "Lopez, Anna Maria"), (7, "Juan Carlos Ortega"), (8, "Ortega Juan Carlos"),
+        (9, "Harbor Northwind Ltd"), (10, "Northwind Harbor Ltd"),
+    ]
+    got = {r["id"]: r["entity"] for r in names.link_names(spark.createDataFrame(rows, "id bigint, v string"), "id", "v").collect()}
+    assert all(got[i] == got[i + 1] for i in range(1, 10, 2)) and len(set(got.values())) == 5
+
+
+def test_names_drawn_at_random(spark):
+    """Given names, surnames and firms made of random syllables, typed with one slip, in another order or another case."""
+    r = random.Random(12)
+    made = lambda n: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(n))
+    truth, rows = {}, []
+    for e in range(80):
+        first, last = (made(3), made(4)) if e % 4 else (f"{made(3)} {made(3)}", "Holdings")
+        at = r.randrange(1, len(last) - 2)
+        slip = last[:at] + last[at + 1] + last[at] + last[at + 2 :]
+        for v in (f"{first} {last}", f"{last} {first}".upper(), f"{first} {slip}" if e % 4 else f"{first} hldgs", f"  {first.title()}   {last}"):
+            truth[len(rows)] = e
+            rows.append((len(rows), v))
+    got = {x["id"]: x["entity"] for x in names.link_names(spark.createDataFrame(rows, "id bigint, v string"), "id", "v").collect()}
+    same = [(i, j) for i in truth for j in truth if i < j and truth[i] == truth[j]]
+    apart = [(i, j) for i in truth for j in truth if i < j and truth[i] != truth[j]]
+    assert sum(got[i] == got[j] for i, j in same) >= 0.97 * len(same) and sum(got[i] == got[j] for i, j in apart) <= 0.001 * len(apart)
+
+
+def test_hashing_alone_and_with_the_exact_pass(spark):
+    """Hashing finds the near ones; the exact pass makes the rest whole, questions and settled vectors in blocks of their own."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(6, 8))
+    vs = [(i, 0, [float(x) for x in np.float32(centres[i % 6] + r.normal(size=8) * 0.01)]) for i in range(240)] + [(1000 + i, 0, [float(x) for x in np.float32(r.normal(size=8))]) for i in range(200)]
+    df = spark.createDataFrame(vs, "id bigint, g int, e array<float>")
+    want = exact(vs, 5, np.inf)
+    for rows in (4000, 50):
+        got = {(x["id"], x["other"]) for x in nearest.nearest(df, "id", "e", "g", k=5, dim=8, bucket_rows=rows).collect()}
+        assert len(got & want) >= 0.999 * len(want) and len(got) == len(want)
+    alone = {(x["id"], x["other"]) for x in nearest.nearest(df, "id", "e", "g", k=5, dim=8, settle=False).collect()}
+    near = {(a, b) for a, b in want if a < 1000}
+    assert len(alone & near) >= 0.97 * len(near) and len(alone & want) < len(want)
+
+
+def test_tables_and_rotations_follow_angle_and_size():
+    p = [nearest._meeting(a, 64, 2, 2, 17) for a in (0.1, 0.3, 0.6)]
+    assert p[0] > p[1] > p[2] and nearest._meeting(0.3, 64, 3, 2, 17) < p[1]
+    tables = [nearest._tables_for(a, 64, r, 2, 17) for a, r in ((0.1, 2), (0.3, 2), (0.3, 3), (0.5, 3))]
+    assert tables == sorted(tables) and tables[0] < tables[-1]
+    assert nearest._settled_angle(64, 3, 2, 2, 17) < nearest._settled_angle(64, 8, 2, 2, 17)
+
+
+@pytest.mark.parametrize("threshold", ["0.2", "0.4", "0.5", "0.7", "0.9"])
+def test_similar_pairs_at_any_threshold(spark, threshold):
+    """One word in all texts, words in many and in one, short texts and long ones."""
+    r = random.Random(3)
+    data = [(i, f"the w{i}") for i in range(300)] + [(500, "the")] + [(600 + i, " ".join(r.choice(["the", "of", "x", "y", f"u{i}"]) for _ in range(r.choice([2, 3, 8])))) for i in range(60)]
+    got = {(x["a"], x["b"]) for x in similar.similar_pairs(spark.createDataFrame(data, "id bigint, t string"), "id", "t", threshold).collect()}
+    assert got == {(a, b) for k, (a, x) in enumerate(data) for b, y in data[k + 1 :] if overlap(x, y) >= float(threshold) - 1e-12}

@@ -67,6 +67,21 @@ def test_mix(spark, hot):
     assert mix.mix(df.limit(0), "id", "s", targets)[0].isEmpty()
 
 
+@pytest.mark.parametrize("share", [None, 0.3, 0.9])
+def test_mix_plans_many_sources_as_a_table(spark, share):
+    """Above max_sources the level is found in the table; both ways plan and draw the same, at any share of what the caps allow."""
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, f"s{r.randrange(12) ** 2 // 12}", r.randrange(1, 50)) for i in range(600)], "id bigint, s string, tokens bigint")
+    targets = spark.createDataFrame([(f"s{k}", (k % 4 + 1) / 30, k % 3 + 1) for k in range(12)], "source string, target_share double, max_repeats int")
+    few, many = (mix.mix(docs, "id", "s", targets, total_share=share, max_sources=n) for n in (10_000, 3))
+    planned = [{x["s"]: round(x["planned_tokens"], 6) for x in report.collect()} for _, report in (few, many)]
+    assert planned[0] == planned[1] and {tuple(x) for x in few[0].collect()} == {tuple(x) for x in many[0].collect()}
+    rows = few[1].collect()
+    full = [x for x in rows if x["available_tokens"] and x["planned_tokens"] >= x["available_tokens"] * x["max_repeats"] - 1e-6]
+    assert (share is None) or full and all(x["most_repeats"] == x["max_repeats"] for x in full)
+    assert all(abs(x["drawn_tokens"] - x["planned_tokens"]) <= 50 for x in rows)
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|> ünïcode"), (5, "a " * 100_000)], "id bigint, t string")
     got = {r["id"]: r["tokens"] for r in mix.token_counts(df, "t", "id").collect()}
