@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 GRAPH_ROW = "struct<via_kind:string,via:string,score:double,degree:bigint,named:boolean>"
 
 
-def folded(contributions: DataFrame, missed: DataFrame, rates: DataFrame) -> DataFrame:
+def folded(contributions: DataFrame, missed: DataFrame | None, rates: DataFrame | None) -> DataFrame:
     """(query_id, graph_id, fact_key, text, vector, mass, graph, held, rrf), one row per candidate.
 
     ``contributions``: query_id, graph_id, fact_key, source, score, list_rank, via_kind,
     via, degree, named, held. ``mass`` is text, anchors and the vector's similarity
     weighted by what the text missed; ``graph`` sums what each anchor holds beyond that
     mass and its fair share of the background, by its degree, never below zero.
+    ``missed`` (query_id, missed) and ``rates`` (query_id, rate) count as 0 where they have no row or are None.
     """
     src = F.col("source")
     sums = contributions.groupBy("query_id", "graph_id", "fact_key").agg(
@@ -23,7 +24,9 @@ def folded(contributions: DataFrame, missed: DataFrame, rates: DataFrame) -> Dat
         F.sum(1 / (60 + F.col("list_rank"))).alias("rrf"),
         F.sort_array(F.collect_list(F.when(src == "graph", F.struct("via_kind", "via", "score", "degree", "named")))).alias("seen"),
     )
-    rows = sums.join(missed, "query_id", "left").join(rates.select("query_id", "rate"), "query_id", "left")
+    rows = sums
+    for name, extra in (("missed", missed), ("rate", rates)):
+        rows = rows.withColumn(name, F.lit(0.0)) if extra is None else rows.join(extra.select("query_id", name), "query_id", "left")
     rows = rows.withColumn("mass", F.col("text") + (1 + F.coalesce("missed", F.lit(0.0))) * F.col("vector") + F.col("anchor"))
     rate, mass = F.coalesce("rate", F.lit(0.0)), F.col("mass")
 

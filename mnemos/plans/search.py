@@ -151,8 +151,7 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         clock[0] = now_ns
 
     parts, seed_parts, cuts = [], [], []
-    none = spark.createDataFrame([], "query_id bigint, missed double")
-    missed, weighted = none, None
+    missed = weighted = None
     most_seeds = max((max(config.seed_size, r.top) for r in recalls), default=0)
 
     def kept_once(df: DataFrame) -> DataFrame:
@@ -175,7 +174,9 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         """The first reading, with places from 0 if they are asked for; the heads of every reading are seeds."""
         best = [F.round("score", 9).desc(), unsigned("fact_key")]
         scored = candidates(scored, guess)
-        heads = _first(scored, ["query_id", "reading"], best, most_seeds).join(asked.select("query_id", "seed_k"), "query_id").where("place < seed_k")
+        heads = _first(scored, ["query_id", "reading"], best, most_seeds)
+        if len({r.top for r in recalls}) > 1:
+            heads = heads.join(asked.select("query_id", "seed_k"), "query_id").where("place < seed_k")
         seed_parts.append(heads.select("query_id", "graph_id", "fact_key", F.lit(source).alias("source")).distinct())
         first = scored.where("reading = 0").drop("reading")
         if not ranks:
@@ -214,8 +215,10 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
             docs = counted.select("query_id", "reading", "graph_id", "fact_key").distinct()
             lens = docs.join(memory.lengths, ["graph_id", "fact_key"])
         text = pooled(textindex.relevances(counted, weighted, lens, config.relevance), "text", guess)
-        bits = textindex.held_bits(found, weighted)
-        text = text.join(bits, ["query_id", "fact_key"], "left")
+        if ranks or any(r.vector for r in recalls):  # only beside a vector does it matter how much of a question a text holds
+            text = text.join(textindex.held_bits(found, weighted), ["query_id", "fact_key"], "left")
+        else:
+            text = text.withColumns({"held": F.lit(None).cast("double"), "total": F.lit(None).cast("double")})
         parts.append(_contribution(text, source="text", list_rank=F.col("place"), cnt=1, named=False, held=F.when(F.col("total") > 0, F.col("held") / F.col("total"))))
         with_vector = [r.query_id for r in recalls if r.vector and r.keywords]
         if with_vector:
@@ -245,7 +248,7 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
     seeds = spark.createDataFrame([], "query_id bigint, graph_id smallint, fact_key bigint, source string")
     for p in seed_parts:
         seeds = seeds.unionByName(p)
-    rates = spark.createDataFrame([], "query_id bigint, total_mass double, total_degree bigint, rate double")
+    rates = None
     walking = [r.query_id for r in recalls if r.anchored and not r.alone and r.lanes >= 1]
     if walking and config.traversal != "none":
         seeds = small(seeds)
@@ -253,14 +256,16 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         about = seen.join(F.broadcast(distinct), ["query_id", "graph_id", "fact_key"], "left_semi")
         masses = small(scoring.folded(about, missed, rates).select("query_id", "graph_id", "fact_key", "mass"))
         observed = small(A.observe(masses, memory.edges, config.traversal))
-        rates = A.background(observed)
-        opened = F.broadcast(A.transmitting(observed, F.broadcast(rates), F.broadcast(named), asked.select("query_id", "depth")))
+        rates = F.broadcast(A.background(observed))
+        opened = F.broadcast(A.transmitting(observed, rates, F.broadcast(named), asked.select("query_id", "depth")))
         more = A.expand(opened, memory.edges, config.traversal)
         seen = seen.unionByName(
             _contribution(more, source="graph", score=F.col("mass"), list_rank=0, degree=F.least("degree", F.lit(4294967295)), cnt=F.least("seeds", F.lit(65535)))
         )
     timed_as("graph")
-    pool = window(scoring.folded(seen, F.broadcast(missed), F.broadcast(rates)))
+    pool = window(scoring.folded(seen, missed, rates))
+    rates = spark.createDataFrame([], "query_id bigint, total_mass double, total_degree bigint, rate double") if rates is None else rates
+    missed = spark.createDataFrame([], "query_id bigint, missed double") if missed is None else missed
     scored = scoring.scored(pool, config.scorer)
     pool = scored.join(memory.facts.select("graph_id", "fact_key", "value"), ["graph_id", "fact_key"])
     marks = seeds.select("query_id", "graph_id", "fact_key").distinct().withColumn("seed", F.lit(True))
@@ -279,7 +284,11 @@ def search(memory: Memory, recalls: Sequence[Recall], config: Config = Config(),
         ranked = timed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1)
     else:
         ranked = _first(timed, ["query_id"], order, max(r.top for r in recalls))
-    ranked = ranked.join(asked.select("query_id", "top", "alone"), "query_id").withColumn("place", F.col("place") + 1).where("top <= 0 or place <= top")
+    ranked = ranked.withColumn("place", F.col("place") + 1)
+    if len({(r.top, r.alone) for r in recalls}) > 1:
+        ranked = ranked.join(asked.select("query_id", "top", "alone"), "query_id").where("top <= 0 or place <= top")
+    else:
+        ranked = ranked.withColumn("alone", F.lit(any(r.alone for r in recalls)))
     if config.min_score_ratio > 0:
         best = F.max("relevance").over(Window.partitionBy("query_id"))
         ranked = ranked.withColumn("__best", best).where(F.col("relevance") >= config.min_score_ratio * F.col("__best")).drop("__best")
