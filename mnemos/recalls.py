@@ -63,8 +63,12 @@ _BEFORE = "(until is null or i.start_at < until)"
 _UNSIGNED = "fact_key::hugeint + case when fact_key < 0 then 18446744073709551616::hugeint else 0 end"
 
 
-def recall_sql(recalls: Sequence[Recall], config: Config) -> str:
-    """The hits of a batch in SQL: query_id, place, graph_id, fact_key, score, seed."""
+_HITS = """select k.query_id, row_number() over (partition by k.query_id order by k.place)::int as place, k.graph_id, k.fact_key, round(k.score, 6) as score, k.alone or s.fact_key is not null as seed
+from kept k left join seeds s using (query_id, graph_id, fact_key)"""
+
+
+def recall_sql(recalls: Sequence[Recall], config: Config, select: str = _HITS) -> str:
+    """The hits of a batch in SQL (query_id, place, graph_id, fact_key, score, seed), or what else ``select`` takes from its steps."""
     q = [(r.query_id, r.graph_id, r.lanes, r.top, max(config.seed_size, r.top), r.since, r.until, r.since_clock, r.until_clock, r.alone, r.anchored and not r.alone and r.lanes >= 1 and config.traversal != "none", bool(r.vector and r.keywords)) for r in recalls]
     terms = [(r.query_id, r.graph_id, t) for r in recalls for t in query_terms(" ".join(r.keywords), False)]
     named = sorted({(r.query_id, r.graph_id, k, v) for r in recalls for k, vs in (("topic", r.topics), ("entity", r.entities)) for v in vs})
@@ -175,8 +179,7 @@ fin as (
 ),
 ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, last desc, {_UNSIGNED}) as place from fin qualify top <= 0 or place <= top),
 kept as (select * from ranked qualify relevance >= {config.min_score_ratio} * max(relevance) over (partition by query_id))
-select k.query_id, row_number() over (partition by k.query_id order by k.place)::int as place, k.graph_id, k.fact_key, round(k.score, 6) as score, k.alone or s.fact_key is not null as seed
-from kept k left join seeds s using (query_id, graph_id, fact_key)"""
+{select}"""
 
 
 def _batch(name: str, doc: str, recalls: Sequence[Recall], **config) -> None:
@@ -226,3 +229,41 @@ _batch("recall_windowed", "Windows on one clock and on two, with and without len
 _batch("recall_excess", "The fold by mass and excess.", _WALKS + [Recall(_LEDGER, _STEP, graph_id=3)], scorer="excess")
 _batch("recall_rrf", "The fold by reciprocal ranks.", _WALKS + [Recall(_LEDGER, _STEP, graph_id=3)], scorer="rrf")
 _batch("recall_cutoff", "Hits under a share of the best relevance are left out.", _WALKS + [Recall(_LEDGER, graph_id=3, top=100)], min_score_ratio=0.4)
+
+
+# what explains a batch
+
+_EXPLAINED = [replace(r, query_id=i) for i, r in enumerate([*_WALKS, Recall(_LEDGER, _STEP, graph_id=3, top=3), Recall(("kettle", "invoice", "ticket"), _STEP, graph_id=8, depth=2, topics=("general",), top=5), Recall(topics=("general", "freight"), graph_id=3)], 1)]
+_PLAIN = Config(stemming=False)
+
+
+def _explained(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE[f.__name__] = lambda spark, folder: f(search(memory(spark, folder), _EXPLAINED, _PLAIN, NOW)), recall_sql(_EXPLAINED, _PLAIN, sql)
+        return f
+
+    return add
+
+
+@_explained("select query_id, source, count(distinct fact_key) as n from lists join q using (query_id, graph_id) where place < seed_k group by all")
+def explain_seeds(found) -> DataFrame:
+    """How many facts each source seeded: the heads of its readings."""
+    return found.seeds.groupBy("query_id", "source").agg(F.count_distinct("fact_key").alias("n"))
+
+
+@_explained("select query_id, round(missed, 6) as missed from missed")
+def explain_missed(found) -> DataFrame:
+    """What the best text lacks of a question that has a vector too."""
+    return found.extra["missed"].select("query_id", F.round("missed", 6).alias("missed"))
+
+
+@_explained("select query_id, round(m, 4) as total_mass, d as total_degree, round(rate, 6) as rate from rates")
+def explain_background(found) -> DataFrame:
+    return found.rates.select("query_id", F.round("total_mass", 4).alias("total_mass"), F.col("total_degree").cast("bigint").alias("total_degree"), F.round("rate", 6).alias("rate"))
+
+
+@_explained("select query_id, fact_key, source, round(score, 6) as score, place::int as list_rank, round(held, 6) as held, case when source = 'graph' then degree end::bigint as degree, coalesce(named, false) as named from all_seen")
+def explain_contributions(found) -> DataFrame:
+    """What each source saw of each candidate, with its place in the source's list."""
+    c = found.contributions
+    return c.select("query_id", "fact_key", "source", F.round("score", 6).alias("score"), "list_rank", F.round("held", 6).alias("held"), F.when(F.col("source") == "graph", F.col("degree")).alias("degree"), "named")
