@@ -23,7 +23,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     kept = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     alone = kept.where("a = b").select(F.col("a").alias("id"))
     edges = cut(kept.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    first = edges
+    first, known = edges, _sum(edges)
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -33,7 +33,8 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         after = cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        same = _sum(after) == _sum(edges)
+        now = _sum(after)
+        same, known = now == known, now
         if edges is not first:
             drop_cut(spark, edges)
         edges = after

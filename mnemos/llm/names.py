@@ -351,6 +351,7 @@ def link_names(entries: DataFrame, entry_id: str, name: str, within: str | None
     loose = links.where("a_open <> b_open").select(F.expr("if(a_open, a, b)").alias("id"), F.expr("if(a_open, b, a)").alias("to"))
     fits = loose.join(strong.select(F.col("id").alias("to"), "component"), "to").groupBy("id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = strong.join(fits, "id", "left").select("id", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("component")).alias("component"), F.col("low").isNotNull().alias("held"))
+    placed = cut(placed)  # three stages read it
     # open forms that fit no cluster at all are clustered among themselves
     free = placed.where("not held").select("id")
     both = links.where("a_open and b_open").join(free.withColumnRenamed("id", "a"), "a", "left_semi").join(free.withColumnRenamed("id", "b"), "b", "left_semi")
