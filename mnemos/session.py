@@ -68,17 +68,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _delete(spark, _scopes.open.pop())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and
-    the result survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/mnemos-{uuid.uuid4().hex}"
+def temporary(spark: SparkSession, name: str = "mnemos") -> str:
+    """A new path in the shared folder, deleted with the scope it is made in or at the end of the program."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if _scopes.open:
         _scopes.open[-1].append(path)
     else:
         if not _left:
             atexit.register(_delete_left)
         _left.setdefault(spark.sparkContext.applicationId, (spark, []))[1].append(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here and
+    the result survives the loss of any executor."""
+    spark = df.sparkSession
+    path = temporary(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ from mnemos.plans.language import ParseError, dedupe, parse, show
 from mnemos.plans.search import Recall
 from mnemos.queries import _CLOCKED, _EDGES, NOW
 from mnemos.recalls import recall_sql
-from mnemos.session import shared_dir
+from mnemos.session import temporary
 from mnemos.sources.store import REMEMBER
 from mnemos.sources.tables import table
 from mnemos.streaming.ingest import ingest_stream, written_per_window
@@ -121,7 +121,7 @@ def _inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _new_engine(spark: SparkSession) -> MemoryEngine:
-    return MemoryEngine(spark, f"{shared_dir(spark).rstrip('/')}/engine-{uuid.uuid4().hex}", Config(num_graphs=32, stemming=False, window_gamma=-1.0), lambda: NOW)
+    return MemoryEngine(spark, temporary(spark, "engine"), Config(num_graphs=32, stemming=False, window_gamma=-1.0), lambda: NOW)
 
 
 def _engine(spark: SparkSession, folder: str) -> MemoryEngine:
@@ -187,9 +187,9 @@ def engine_remember_twice(spark: SparkSession, folder: str) -> DataFrame:
     again = engine.store.memory().facts.where("said_at is not null")
     rows = again.select("graph_id", "value", F.array(F.lit("Once more")).alias("topics"), F.lit(None).cast("array<string>").alias("entities"), F.lit(None).cast("timestamp").alias("said_at"),
                         (F.col("written_at") + F.expr("interval 1 day")).alias("written_at"), F.lit(None).cast("array<struct<start_at:timestamp,end_at:timestamp>>").alias("occurred"), F.lit(None).cast("array<double>").alias("vector"))
-    source = f"{engine.store.root}-again"
+    source, progress = temporary(spark, "again"), temporary(spark, "progress")
     rows.write.parquet(source)
-    ingest_stream(spark.readStream.schema(REMEMBER).parquet(source), engine.store, f"{source}-checkpoint").awaitTermination()
+    ingest_stream(spark.readStream.schema(REMEMBER).parquet(source), engine.store, progress).awaitTermination()
     m = engine.store.memory()
     edges = m.edges.groupBy("graph_id", "fact_key").agg(F.count(F.lit(1)).alias("edges"))
     facts = m.facts.join(edges, ["graph_id", "fact_key"], "left")
@@ -210,9 +210,12 @@ def engine_point_lookup(spark: SparkSession, folder: str) -> DataFrame:
 @query("select epoch_us(time_bucket(interval 30 day, written_at, timestamptz '1970-01-01 00:00:00+00')) as window_us, graph_id, count(*) as n from remembers where written_at is not null group by all")
 def written_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Remember inputs per window of event time, as a stream that never drops what is that late."""
-    rows = spark.readStream.schema(table(spark, folder, "remembers").schema).option("pathGlobFilter", "remembers*").parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/remembers.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(table(spark, folder, "remembers").schema)  # a stream reads folders: of one file, the folder it lies in
+    rows = reader.parquet(path.toString()) if files else reader.option("pathGlobFilter", path.getName()).parquet(folder)
     name = f"windows_{uuid.uuid4().hex}"
     counts = written_per_window(rows, "written_at", "30 days", "36500 days", "graph_id")
-    stream = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark).rstrip('/')}/{name}").start()
+    stream = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", temporary(spark, "windows")).start()
     stream.awaitTermination()
     return spark.table(name).where("window is not null").select(F.unix_micros("window.start").alias("window_us"), "graph_id", "n")
