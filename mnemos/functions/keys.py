@@ -9,8 +9,6 @@ import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-TAGS = ("fact", "entity", "topic", "mentions", "isabout")
-
 
 def key(tag: str, value: str, seed: int = 0) -> int:
     """As a signed number, the way it is stored."""
@@ -18,10 +16,6 @@ def key(tag: str, value: str, seed: int = 0) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def edge_key(kind: str, fact: str, anchor: str, seed: int = 0) -> int:
-    return key("mentions" if kind == "entity" else "isabout", f"{fact}\0{anchor}", seed)
-
-
 def keyed(tag: str, value: Column, seed: int = 0) -> Column:
     """The same for a column. Spark's hash is XXH64 too, but its function fixes another seed, so
     the expression is made with ours; where the JVM can't be reached a pandas UDF does it."""

@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
@@ -67,7 +68,6 @@ class Graph:
     deltas: list[tuple[int, int]] = field(default_factory=list)  # (folder, facts)
     docs: int = 0
     terms: int = 0
-    vectors: int = 0
     dim: int | None = None
 
     @property
@@ -199,8 +199,7 @@ class MemoryStore:
             self._check(*touched)
             while not self._append(log, touched):
                 pass
-        for g in touched:
-            self._merge(g)
+        self._merge(touched)
 
     def _append(self, log: DataFrame, touched: dict[int, set[int]]) -> bool:
         number, graphs = self.manifest()
@@ -281,24 +280,24 @@ class MemoryStore:
         with ThreadPoolExecutor(len(tables)) as pool:
             list(pool.map(one, tables.items()))
 
-    def _merge(self, graph: int) -> None:
-        """Merges the folders of a graph where they have become many or large."""
+    def _merge(self, touched: Iterable[int]) -> None:
+        """Merges the folders of the graphs in which they have become many or large, all of them in one pass each."""
         with self._lock:
-            _, graphs = self.manifest()
-            v = graphs[graph]
-            since = sum(n for _, n in v.deltas)
-            if since * 2 > v.facts and v.deltas:
-                self._rewrite(graph, whole=True)
-            elif len(v.deltas) > MOST_DELTAS:
-                self._rewrite(graph, whole=False)
-
-    def _rewrite(self, graph: int, whole: bool, gone: DataFrame | None = None) -> None:
-        """One folder instead of a graph's deltas, or of all its folders, without the facts ``gone``."""
+            graphs = {g: v for g, v in self.manifest()[1].items() if g in touched and v.deltas}
+            large = [g for g, v in graphs.items() if sum(n for _, n in v.deltas) * 2 > v.facts]
+            if large:
+                self._rewrite(large, whole=True)
+            many = [g for g, v in graphs.items() if g not in large and len(v.deltas) > MOST_DELTAS]
+            if many:
+                self._rewrite(many, whole=False)
+
+    def _rewrite(self, touched: list[int], whole: bool, gone: DataFrame | None = None) -> None:
+        """One folder instead of the graphs' deltas, or of all their folders, without the facts ``gone``."""
         while True:
             number, graphs = self.manifest()
-            v = graphs[graph]
-            view = v if whole else Graph(v.deltas[0][0], deltas=v.deltas[1:])
-            tables = {n: self._read(n, {graph: view}) for n in TABLES}
+            views = {g: graphs[g] if whole else Graph(graphs[g].deltas[0][0], deltas=graphs[g].deltas[1:]) for g in touched}
+            tables = {n: self._read(n, views) for n in TABLES}
+            folder = _folder_of(number + 1)
             with scratch(self.spark):
                 if gone is not None:
                     left = ingest.delete_facts(Memory(tables["facts"], tables["edges"], tables["postings"], tables["lengths"], tables["facts"], tables["vectors"]), gone)
@@ -306,19 +305,21 @@ class MemoryStore:
                     ends = order.where("after is null").join(left.facts.select(*FACT, "written_at"), FACT)
                     tables = {"facts": left.facts, "edges": left.edges, "postings": left.postings, "lengths": left.lengths, "vectors": left.vectors, "order": order, "tails": ends}
                 tables["postings"] = tables["postings"].sortWithinPartitions("graph_id", "term")  # a search reads few terms
-                folder = _folder_of(number + 1)
                 self._write(tables, folder)
-            many = self._folder("facts", folder).count()
-            if whole:
-                v.base, v.facts, v.deltas = folder, many, []
-            else:
-                v.deltas = [(folder, many)]
-            if gone is not None:
-                sums = self._folder("lengths", folder).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
-                v.docs, v.terms = sums["n"], sums["t"]
-                v.dim = v.dim if not self._folder("vectors", folder).isEmpty() else None
-                if not v.docs:
-                    del graphs[graph]
+            count = lambda name, *more: {r["graph_id"]: r for r in self._folder(name, folder).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), *more).collect()}
+            facts = count("facts")
+            lens, vectors = (count("lengths", F.sum("len").alias("terms")), count("vectors")) if gone is not None else ({}, {})
+            for g in touched:
+                v, many = graphs[g], facts[g]["n"] if g in facts else 0
+                if whole:
+                    v.base, v.facts, v.deltas = folder, many, []
+                else:
+                    v.deltas = [(folder, many)]
+                if gone is not None:
+                    v.docs, v.terms = (lens[g]["n"], lens[g]["terms"]) if g in lens else (0, 0)
+                    v.dim = v.dim if g in vectors else None
+                    if not v.docs:
+                        del graphs[g]
             if self._publish(number + 1, graphs):
                 return
 
@@ -331,7 +332,7 @@ class MemoryStore:
         self._check(graph)
         with self._lock:
             if not self.is_empty(graph):
-                self._rewrite(graph, True, gone.select(F.lit(graph).cast("smallint").alias("graph_id"), "fact_key"))
+                self._rewrite([graph], True, gone.select(F.lit(graph).cast("smallint").alias("graph_id"), "fact_key"))
 
     def vacuum(self) -> None:
         """Deletes folders and manifests that are no longer current; readers that started before may miss them."""
