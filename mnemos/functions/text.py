@@ -14,6 +14,8 @@ from mnemos.functions.porter2 import stem
 TERM = r"[\p{L}\p{Nd}\p{So}]+"
 
 # The English function words that are neither indexed nor searched. Negations are kept as terms.
+# They are taken from the stop words of the Snowball project: Copyright (c) 2001, Dr Martin Porter, and (c) 2002,
+# Richard Boulton, under the 3-clause BSD licence, whose terms and disclaimer of warranty go with this list.
 STOP_WORDS = frozenset(
     """
     a about above after again against all am an and any are as at be because been before being below between both
