@@ -16,6 +16,7 @@ from mnemos.model import Config, Memory
 from mnemos.operators import ingest
 from mnemos.plans.search import LAST_RANK, Recall, search
 from mnemos.queries import _CLOCKED, _SEQ, _TOKENS, NOW
+from mnemos.session import there
 from mnemos.sources.tables import table
 
 QUERIES: dict = {}
@@ -27,7 +28,7 @@ _MEMORIES: dict[tuple, Memory] = {}
 def memory(spark: SparkSession, folder: str) -> Memory:
     """All graphs of the log with the latest good vector of each fact, unstemmed; kept for the session."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _MEMORIES:
+    if key not in _MEMORIES or not all(there(spark, f) for f in _MEMORIES[key].facts.inputFiles()):
         e = F.col("embedding")
         good = table(spark, folder, "vectors").where((F.size(e) == 64) & F.forall(e, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("fact_key").isNotNull())
         vecs = good.groupBy("graph_id", "fact_key").agg(F.max_by(e.cast("array<double>"), "vec_id").alias("embedding"))

@@ -89,6 +89,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def there(spark: SparkSession, text: str) -> bool:
+    """Whether a file or folder still exists: others may clear the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path))
+
+
 #: Rows up to which ``gathered`` takes a table through the driver.
 SMALL_ROWS = 20_000
 

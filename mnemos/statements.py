@@ -17,7 +17,7 @@ from mnemos.plans.language import ParseError, dedupe, parse, show
 from mnemos.plans.search import Recall
 from mnemos.queries import _CLOCKED, _EDGES, NOW
 from mnemos.recalls import recall_sql
-from mnemos.session import temporary
+from mnemos.session import temporary, there
 from mnemos.sources.store import REMEMBER
 from mnemos.sources.tables import table
 from mnemos.streaming.ingest import ingest_stream, written_per_window
@@ -127,7 +127,7 @@ def _new_engine(spark: SparkSession) -> MemoryEngine:
 def _engine(spark: SparkSession, folder: str) -> MemoryEngine:
     """An engine that was told the whole log; kept for the session."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _ENGINES:
+    if key not in _ENGINES or not there(spark, _ENGINES[key].store.root):
         _ENGINES[key] = _new_engine(spark)
         _ENGINES[key].store.remember(_inputs(spark, folder))
     return _ENGINES[key]
