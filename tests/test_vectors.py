@@ -1,6 +1,10 @@
 import random
+from pathlib import Path
+
+import pytest
 
 from mnemos.operators import forest, vectors
+from mnemos.session import shared_dir
 
 
 def rows(n, dim=6, seed=1):
@@ -34,3 +38,41 @@ def test_forest(spark):
         want |= {(i, k) for _, k in d[:5]}
     assert got[200] == want and len(got[4] & want) >= 0.5 * len(want)
     assert forest.nearest(asked, vecs.limit(0), forest.build(vecs.limit(0), 6), 6).isEmpty()
+
+
+def brute(data, asked, k):
+    want = set()
+    for q, g, x in asked:
+        d = sorted((sum((a - b) ** 2 for a, b in zip(x, v)), key) for h, key, v in data if g == h)
+        want |= {(q, g, key) for _, key in d[:k]}
+    return want
+
+
+def test_forest_writes_less_than_its_vectors(spark):
+    data = rows(4000, dim=32, seed=3)
+    vecs = spark.createDataFrame(data, "graph_id smallint, fact_key bigint, embedding array<double>")
+    written = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    before = written()
+    leaves, splits = forest.build(vecs, 32, trees=4, leaf_rows=16)
+    assert leaves.count() == 4 * 4000 and splits.agg({"level": "max"}).first()[0] >= 6
+    assert written() - before < 4000 * 32 * 8
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_forest_is_exact_on_request(spark, monkeypatch, small):
+    if small:  # graphs larger than a task, in many slices and blocks
+        monkeypatch.setattr(forest, "GROWN", 6 * 100)
+        monkeypatch.setattr(forest, "SEARCHED", 6 * 70)
+        monkeypatch.setattr(forest, "BLOCK", 4)
+    data = [(0, i, v) for _, i, v in rows(900)] + [(1, i, v) for _, i, v in rows(400, seed=2)]
+    data += [(0, 5000 + i, [3.0] * 6) for i in range(150)] + [(0, 6000 + i, [40.0 + x for x in v]) for _, i, v in rows(300, seed=4)]
+    vecs = spark.createDataFrame(data + [(0, 5000, [2.0] * 6), (2, 1, None)], "graph_id smallint, fact_key bigint, embedding array<double>")
+    index = tuple(t.cache() for t in forest.build(vecs, 6, trees=2, leaf_rows=20))
+    leaves = [(r["graph_id"], r["fact_key"], r["tree"]) for r in index[0].collect()]
+    assert len(set(leaves)) == len(leaves) == 2 * len(data)
+    assert max(r["count"] for r in index[0].where("fact_key < 5000").groupBy("tree", "graph_id", "node").count().collect()) <= 40
+    asked = [(i, g, data[i][2]) for i in range(12) for g in (0, 1)] + [(50, 0, [3.0] * 6), (51, 0, [40.0] * 6), (52, 7, [0.0] * 6), (53, 2, [0.0] * 6)]
+    questions = spark.createDataFrame([*asked, (54, 0, [1.0])], "query_id bigint, graph_id smallint, vector array<double>")
+    got = {wide: {(r["query_id"], r["graph_id"], r["fact_key"]) for r in forest.nearest(questions, vecs, index, 6, k=5, overfetch=2, exact=wide).collect()} for wide in (False, True)}
+    want = brute(data, asked, 5)
+    assert got[True] == want and 0.2 * len(want) < len(got[False] & want) < len(want)
